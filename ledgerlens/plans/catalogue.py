@@ -53,8 +53,8 @@ def _cols(*names: str, whole=()):
 
 
 def _sql(ctes: str, names=(), whole=(), source: str = "f") -> str:
-    cols = ", ".join(["tid transaction_id", *[f"round({n}, 6) {n}" for n in names],
-                      *[f"cast({n} as bigint) {n}" for n in whole]])
+    cols = ", ".join(["tid transaction_id", *[f'round("{n}", 6) as "{n}"' for n in names],
+                      *[f"cast({n} as bigint) as {n}" for n in whole]])
     return f"with {ctes} select {cols} from {source}"
 
 
@@ -124,10 +124,10 @@ def decisions_with_model(spark, sf_dir):
 
 @query(f"""with {_SCORED_DECISION}, w as (select *, (cast(tid as bigint) % 80) / 10 waited,
 case when cast(tid as bigint) % 3 <> 0 then cast(tid as bigint) * 104729 % 1000 / 1000 end s2 from m
-where ml >= 0.8 and ml < 0.9 and a3 = 0 and a9 = 0), v as (select *, case when waited < 5 then s2 end s from w)
-select tid transaction_id, case when s is null or s >= 0.5 then 'REVIEW' else 'ALLOW' end decision,
-round(coalesce(s, ml), 4) final_score,
-'second-look:m1' || case when s is null then ':unscored' else '' end model_version from v""")
+where ml >= 0.8 and ml < 0.9 and a3 = 0 and a9 = 0), v as (select *, case when waited < 5 then s2 end sl from w)
+select tid transaction_id, case when sl is null or sl >= 0.5 then 'REVIEW' else 'ALLOW' end decision,
+round(coalesce(sl, ml), 4) final_score,
+'second-look:m1' || case when sl is null then ':unscored' else '' end model_version from v""")
 def second_look_verdicts(spark, sf_dir):
     """DE-6, ST-8: the band re-decided; no score or a wait past the deadline holds it."""
     i = F.col("transaction_id").cast("bigint")
@@ -202,7 +202,7 @@ def currency_scale(spark, sf_dir):
 
 
 @query(f"""with {Q.E}, b as (select *, null::varchar currency from t) select count(*) as rows, sum(label)::bigint frauds,
-round(avg(label), 6) fraud_share, count(*) filter (s = p) self_transfers, (max(us) - min(us)) // 86400000000 days,
+round(avg(label), 6) fraud_share, count(*) filter (s = p) self_transfers, (max(us) - min(us)) // 86400000000 as days,
 (select count(distinct x) from (select s x from t union all select p from t)) accounts,
 count(distinct s) senders, count(distinct p) payees from b""")
 def dataset_summary(spark, sf_dir):
@@ -227,9 +227,9 @@ def paysim_rows(spark, sf_dir):
 
 
 @query("""with x as (select 'A' || o_custkey s, 'A' || (o_orderkey % 30) p, o_totalprice a, cast(c_nationkey as varchar) cur,
-strftime(o_orderdate, '%Y/%m/%d %H:%M') at from orders join customer on o_custkey = c_custkey),
+strftime(o_orderdate, '%Y/%m/%d %H:%M') as tm from orders join customer on o_custkey = c_custkey),
 m as (select cur, 138740 / median(a) f from x group by cur)
-select s sender_key, p payee_key, epoch_us(strptime(at, '%Y/%m/%d %H:%M')) event_us, round(a * f, 4) amount, x.cur currency
+select s sender_key, p payee_key, epoch_us(strptime(tm, '%Y/%m/%d %H:%M')) event_us, round(a * f, 4) amount, x.cur currency
 from x join m on x.cur = m.cur""")
 def bank_file_rows(spark, sf_dir):
     """SRC-6: repeated headers, minute times, one scale per currency, self-transfers kept."""
@@ -345,8 +345,8 @@ def recall_by_type(spark, sf_dir):
     return metrics.recall_by_type(scored(spark, sf_dir), 0.6).select("label_type", "n", "caught", _r("recall"))
 
 
-@query(f"""with {_S}, k as (select *, row_number() over (order by score desc, tid) rk, count(*) over () n, sum(label) over () p from sc)
-select count(*) budget_alerts, sum(label)::bigint budget_caught, max(p)::bigint fraud, round(sum(label) / max(p), 6) budget_recall,
+@query(f"""with {_S}, k as (select *, row_number() over (order by score desc, tid) rk, count(*) over () n, sum(label) over () pos from sc)
+select count(*) budget_alerts, sum(label)::bigint budget_caught, max(pos)::bigint fraud, round(sum(label) / max(pos), 6) budget_recall,
 round(sum(label) / count(*), 6) budget_precision from k where rk <= greatest(1, round(n * 0.02))""")
 def alert_budget(spark, sf_dir):
     """ML-12: the riskiest 2 %."""
@@ -370,7 +370,7 @@ def _psi_rows(spark, sf_dir):
 {{'f': 'noisy', 'v': case when cast(tid as bigint) % 7 = 0 then null else amount / 1000 * case when cast(tid as bigint) % 2 = 0 then 1 else 3 end end}}]) u from t),
 x as (select side, u.f feature, u.v v from l),
 ed as (select feature, list_distinct(quantile_cont(v, [.1, .2, .3, .4, .5, .6, .7, .8, .9])) es from x where side = 0 and v is not null group by feature),
-bn as (select x.feature, side, case when v is null then -1 else len(list_filter(es, z -> v >= z)) end b, len(es) ne from x join ed using (feature)),
+bn as (select x.feature, side, case when v is null then -1 else len(list_filter(es, lambda z: v >= z)) end b, len(es) ne from x join ed using (feature)),
 ct as (select feature, b, count(*) filter (side = 0) p, count(*) filter (side = 1) q from bn group by feature, b),
 fr as (select feature, max(ne) + 2 nb, count(*) filter (side = 0) np, count(*) filter (side = 1) nq from bn group by feature),
 gr as (select feature, nb, np, nq, unnest(range(-1, nb - 1)) b from fr),

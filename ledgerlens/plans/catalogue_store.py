@@ -1 +1,510 @@
-"""Named queries over decisions, cases and the audit log derived from the tables."""
+"""Named queries over wire records, decisions, cases and the audit log, all derived from `orders`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from .. import settings as S
+from ..functions import envelope, phrases, scalars
+from ..operators import audit, cases as C, decision, lookups, queue
+from ..sources import ingest
+from . import dashboards as D
+from . import model, training
+from .catalogue import events, features, query, scored
+from ..operators import metrics
+from ..operators.features import FEATURES
+from ..operators.rules import with_rules
+
+NOW = 2_000_000_000      # epoch seconds, after everything derived here
+
+# Decision records, in SQL both engines read. `k` is the order's number.
+RECORD = {
+    "transaction_id": "case when k % 41 = 0 then concat('replay-', cast(k as string)) else cast(k as string) end",
+    "event_us": "days * 60000000 + 1600000000000000",
+    "sender_card": "concat('860033', lpad(cast(o_custkey as string), 10, '0'))",
+    "receiver_card": "concat(case when k % 3 = 0 then '986001' when k % 3 = 1 then '860003' else '999999' end, "
+                     "lpad(cast(k % 40 as string), 10, '0'))",
+    "amount_uzs": "cast(floor(o_totalprice * 20) as bigint)",
+    "ml_score": "case when k % 11 <> 0 then (k * 7919 % 1000) / 1e3 end",
+    "cep_score": "(k % 8) / 1e1",
+    "final_score": "case when k % 11 <> 0 then (k * 7919 % 1000) / 1e3 else (k % 8) / 1e1 end",
+    "hits": "case when k % 9 = 0 then 'STRUCTURING' when k % 7 = 0 then 'VELOCITY,MULE_FAN_IN' else '' end",
+    "decision": "case when k % 9 = 0 or (k * 7919 % 1000) >= 900 then 'REVIEW' "
+                "when (k * 7919 % 1000) >= 800 then 'SECOND_LOOK' else 'ALLOW' end",
+    "predicted_type": "case when k % 9 = 0 then 'STRUCTURING' when k % 7 = 0 then 'ATO' end",
+    "model_version": "case when k % 11 <> 0 then 'cep+ml-fusion-v2' else 'cep-only-fallback' end",
+    "ingested_at": "case when k % 13 <> 0 then 1700000000 + days * 60 + (k % 100) / 1e1 end",
+    "scored_at_job": "1700000000 + days * 60 + (k % 100) / 1e1 + ((k * 31) % 97) * 5 / 1e3",
+}
+_BASE = "select o_orderkey k, o_custkey, o_totalprice, {days} as days from orders"
+ROWS = ("base as (" + _BASE.format(days="date_diff('day', date '1992-01-01', cast(o_orderdate as date))") + "), "
+        "rec as (select k, " + ", ".join(f"{e} as {n}" for n, e in RECORD.items()) + " from base)")
+# The second look's answers come later and replace the wait.
+ANSWERS = """ans as (select * replace (case when k % 2 = 0 then 'REVIEW' else 'ALLOW' end as decision,
+case when k % 10 = 4 then 'second-look:m1:unscored' else 'second-look:m1' end as model_version, scored_at_job + 1 as scored_at_job)
+from rec where decision = 'SECOND_LOOK' and k % 4 <> 3),
+rec_all as (select * from rec union all select * from ans),
+fin as (select * from rec_all qualify row_number() over (partition by transaction_id order by decision = 'SECOND_LOOK', scored_at_job desc) = 1)"""
+STORE = f"{ROWS}, {ANSWERS}"
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """The job's records and the second look's answers."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    base = o.selectExpr("o_orderkey k", "o_custkey", "o_totalprice",
+                        "cast(datediff(cast(o_orderdate as date), date '1992-01-01') as bigint) days")
+    rec = base.selectExpr("k", *[f"{e} as {n}" for n, e in RECORD.items()])
+    answers = rec.filter("decision = 'SECOND_LOOK' and k % 4 <> 3").withColumns({
+        "decision": F.expr("if(k % 2 = 0, 'REVIEW', 'ALLOW')"),
+        "model_version": F.expr("if(k % 10 = 4, 'second-look:m1:unscored', 'second-look:m1')"),
+        "scored_at_job": F.col("scored_at_job") + 1})
+    empty = F.array().cast("array<string>")
+    return rec.unionByName(answers).withColumns({
+        "rule_hits": F.when(F.col("hits") == "", empty).otherwise(F.split("hits", ",")),
+        "event_time": F.timestamp_micros("event_us"), "scored_at": F.col("scored_at_job"),
+        "decision_ms": scalars.span_ms(F.col("ingested_at") * 1e6, F.col("scored_at_job") * 1e6)})
+
+
+def final(spark, sf_dir) -> DataFrame:
+    return decision.final_decisions(records(spark, sf_dir))
+
+
+def case_versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(every case version: opened, reopened with reasons, judged, judged again; rejected verdicts)."""
+    held = final(spark, sf_dir)
+    reasons = F.array(F.concat(F.lit("amount: "), F.col("amount_uzs").cast("string"), F.lit(" UZS (+0.50)")))
+    opened = C.open_cases(held).unionByName(C.open_cases(held.filter("k % 2 = 0").withColumns(
+        {"explanation": reasons, "explanation_status": F.lit("OK")})))
+    k, tid = F.col("k"), F.col("transaction_id").alias("case_id")
+    first = held.filter("k % 3 <> 0").select(
+        tid, F.when(k % 3 == 1, "CONFIRMED_FRAUD").otherwise("FALSE_POSITIVE").alias("verdict"),
+        F.when(k % 101 == 0, "").otherwise("ann").alias("by"), (F.col("scored_at_job") + 60 + k % 1000).alias("at"))
+    again = held.filter("k % 15 = 1").select(tid, F.lit("FALSE_POSITIVE").alias("verdict"), F.lit("bob").alias("by"),
+                                             (F.col("scored_at_job") + 5000).alias("at"))
+    rows1, bad1 = C.resolve(opened, first)
+    judged = opened.unionByName(rows1)
+    rows2, bad2 = C.resolve(judged, again)
+    return judged.unionByName(rows2), bad1.unionByName(bad2)
+
+
+CASES = f"""{STORE}, hold as (select * from fin where decision = 'REVIEW'),
+ver as (select *, case when k % 15 = 1 then 'FALSE_POSITIVE' when k % 3 = 1 and k % 101 <> 0 then 'CONFIRMED_FRAUD'
+when k % 3 = 2 and k % 101 <> 0 then 'FALSE_POSITIVE' else 'NEW' end disposition,
+case when k % 15 = 1 then 'bob' when k % 3 <> 0 and k % 101 <> 0 then 'ann' else '' end resolved_by,
+case when k % 15 = 1 then scored_at_job + 5000 when k % 3 <> 0 and k % 101 <> 0 then scored_at_job + 60 + k % 1000 else 0 end resolved_at,
+case when k % 2 = 0 then 'OK' else '' end explanation_status from hold)"""
+
+
+def cases(spark, sf_dir) -> DataFrame:
+    return C.latest_cases(case_versions(spark, sf_dir)[0])
+
+
+# --- Wire ---------------------------------------------------------------------------------
+
+_WIRE = f"""{ROWS}, wire as (select k, transaction_id, cast(to_timestamp(event_us // 1000000) at time zone 'UTC' as varchar) event_time,
+'p' || o_custkey pinfl, sender_card, receiver_card, amount_uzs from rec join base using (k))"""
+
+
+def wire(spark, sf_dir) -> DataFrame:
+    """Raw messages; some fields are damaged by the row's number."""
+    o = records(spark, sf_dir).filter("model_version not like 'second-look%'")
+    number = F.substring("sender_card", 7, 10).cast("bigint").cast("string")
+    return o.select(
+        "k", "transaction_id", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"),
+        F.concat(F.lit("p"), number).alias("sender_pinfl"), "sender_card", F.lit("HUMO").alias("sender_network"),
+        "receiver_card", F.lit("HUMO").alias("receiver_network"),
+        F.when(F.col("k") % 19 == 0, F.lit(None).cast("string")).when(F.col("k") % 23 == 0, "-5")
+        .when(F.col("k") % 29 == 0, "NaN").when(F.col("k") % 31 == 0, "many")
+        .otherwise(F.col("amount_uzs").cast("string")).alias("amount_uzs"),
+        F.lit("d").alias("device_id"), F.when(F.col("k") % 2 == 0, "Navoi").alias("sender_region"),
+        F.lit("0").alias("sender_balance_before"),
+        F.when(F.col("k") % 5 == 0, "False").when(F.col("k") % 5 == 1, " N ").otherwise("yes").alias("active_call"),
+        F.when(F.col("k") % 37 == 0, "-1").when(F.col("k") % 43 == 0, "inf").when(F.col("k") % 2 == 0, "12.5")
+        .alias("secs_login_to_confirm"))
+
+
+@query(f"""with {_WIRE}, x as (select *, case when k % 19 = 0 then '' when k % 23 = 0 then '-5' when k % 29 = 0 then 'NaN' when k % 31 = 0 then 'many'
+else cast(amount_uzs as varchar) end amt from wire) select transaction_id, sha256(concat(transaction_id, chr(31), event_time, chr(31), pinfl, chr(31), sender_card, chr(31),
+receiver_card, chr(31), amt, chr(31), case when k % 2 = 0 then 'Navoi' else '' end)) ingress_hash from x""")
+def ingress_hash(spark, sf_dir):
+    """ING-3."""
+    return wire(spark, sf_dir).select("transaction_id", audit.ingress_hash().alias("ingress_hash"))
+
+
+_REASON = """case when k % 53 = 0 then 'undecodable' when k % 19 = 0 then 'amount missing' when k % 23 = 0 then 'amount not finite or negative'
+when k % 29 = 0 then 'amount not finite or negative' when k % 31 = 0 then 'amount is no number'
+when k % 37 = 0 then 'seconds not finite or negative' when k % 43 = 0 then 'seconds not finite or negative' end"""
+
+
+def _decoded(spark, sf_dir):
+    messages = wire(spark, sf_dir)
+    # Whole numbers travel as texts here; a damaged record is cut short.
+    sent = ingest.to_wire(messages).withColumn(
+        "value", F.when(F.get_json_object("value", "$.k").cast("bigint") % 53 == 0, F.expr("left(value, 40)"))
+        .otherwise(F.col("value")))
+    return ingest.decode(sent)
+
+
+@query(f"with {_WIRE} select {_REASON} reject_reason, count(*) n from wire where {_REASON} is not null group by 1")
+def quarantine(spark, sf_dir):
+    """ING-1, ING-4, ING-7..9, AGG-12: decode, judge, count what cannot be scored."""
+    return D.rejected_counts(ingest.split_usable(_decoded(spark, sf_dir))[1])
+
+
+@query(f"""with {_WIRE} select transaction_id, event_us, sender_card sender_key, receiver_card payee_key, cast(amount_uzs as double) amount,
+case when k % 5 < 2 then 0 else 1 end active_call, case when k % 2 = 0 then 12.5 else 0 end secs_login
+from wire join rec using (k, transaction_id, sender_card, receiver_card, amount_uzs) where {_REASON} is null""")
+def usable_transfers(spark, sf_dir):
+    """ING-10..12, SC-1, SC-8: usable events as typed, keyed transfers."""
+    from ..contract import to_transfers
+    usable = ingest.deduplicated(ingest.split_usable(_decoded(spark, sf_dir))[0])
+    return to_transfers(usable).select("transaction_id", "event_us", "sender_key", "payee_key", "amount", "active_call", "secs_login")
+
+
+@query(f"""with {_WIRE} select k, sender_card routing, transaction_id from wire where k % 53 <> 0""")
+def envelope_roundtrip(spark, sf_dir):
+    """ING-5, ING-6: sealed and opened again; a re-addressed record does not open."""
+    key = F.lit("0123456789abcdef0123456789abcdef").cast("binary")
+    sealed = ingest.to_wire(wire(spark, sf_dir), key).withColumn("k", F.regexp_extract("key", r"(\d+)", 1))
+    moved = sealed.withColumn("value", F.regexp_replace("value", "^FDE1:8", "FDE1:9"))
+    both = ingest.decode(sealed.unionByName(moved), key).filter("decoded")
+    text = envelope.decrypt(F.col("raw"), key)
+    return both.select(F.get_json_object(text, "$.k").cast("bigint").alias("k"), "routing", "transaction_id").filter("k % 53 <> 0")
+
+
+# --- Cards --------------------------------------------------------------------------------
+
+def banks(spark, sf_dir) -> DataFrame:
+    """A registry of two BINs, named by two regions of the table."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").filter("r_regionkey < 2")
+    return r.select(F.when(F.col("r_regionkey") == 0, "986001").otherwise("860003").alias("bin"),
+                    F.lpad(F.col("r_regionkey").cast("string"), 5, "0").alias("code"), F.col("r_name").alias("name"))
+
+
+@query(f"""with {ROWS}, b as (select case when r_regionkey = 0 then '986001' else '860003' end bin, lpad(cast(r_regionkey as varchar), 5, '0') code, r_name name
+from region where r_regionkey < 2) select transaction_id, coalesce(b.code, '00000') bank_code, coalesce(b.name, 'UNKNOWN') bank_name,
+case when receiver_card like '8600%' then 'UzCard' when receiver_card like '9860%' then 'HUMO' end network
+from rec left join b on substr(receiver_card, 1, 6) = b.bin""")
+def bin_lookup(spark, sf_dir):
+    """SC-12, SC-13, SRC-8: issuing bank and network of a card."""
+    rows = records(spark, sf_dir).filter("model_version not like 'second-look%'")
+    return lookups.issuing_bank(rows, banks(spark, sf_dir), "receiver_card").select(
+        "transaction_id", "bank_code", "bank_name", scalars.card_network(F.col("receiver_card")).alias("network"))
+
+
+@query(f"""with {ROWS}, dg as (select transaction_id, sender_card, list_sum(list_transform(range(1, 17), lambda i:
+case when i % 2 = 0 then cast(sender_card[i] as int) when cast(sender_card[i] as int) * 2 > 9 then cast(sender_card[i] as int) * 2 - 9 else cast(sender_card[i] as int) * 2 end)) sm from rec)
+select transaction_id, substr(sender_card, 1, 4) || ' ' || substr(sender_card, 5, 2) || '** **** ' || right(sender_card, 4) masked, sm % 10 = 0 luhn from dg""")
+def card_mask(spark, sf_dir):
+    """SC-9, SC-14."""
+    rows = records(spark, sf_dir).filter("model_version not like 'second-look%'")
+    return rows.select("transaction_id", scalars.mask_card(F.col("sender_card")).alias("masked"),
+                       F.expr("luhn_check(sender_card)").alias("luhn"))
+
+
+_FLT = {"sender": "860033", "receiver": "07", "min": 1_000_000, "max": 9_000_000, "since": 1_700_000_000.0, "type": "NONE"}
+
+
+@query(f"""with {STORE}, x as (select * from fin where sender_card like '860033%' and (receiver_card like '07%' or receiver_card like '%07')
+and amount_uzs between 1000000 and 9000000 and scored_at_job >= 1700000000 and predicted_type is null)
+select transaction_id, amount_uzs, count(*) over () passing from x order by scored_at_job desc, transaction_id limit 20""")
+def card_filter(spark, sf_dir):
+    """SC-10, SC-11, TOP-4: the newest decisions that pass a filter, and how many pass."""
+    return queue.latest_decisions(final(spark, sf_dir), _FLT, 20).select("transaction_id", "amount_uzs", "passing")
+
+
+# --- Decisions ----------------------------------------------------------------------------
+
+@query(f"with {STORE} select transaction_id, decision, model_version, final_score from fin")
+def final_decision(spark, sf_dir):
+    """AJ-11: an answer replaces the wait for it."""
+    return final(spark, sf_dir).select("transaction_id", "decision", "model_version", "final_score")
+
+
+_HELD = "ml_score is not null and ml_score >= 0.9"
+_RULE = "ml_score is null or hits = 'STRUCTURING'"
+
+
+@query(f"""with {STORE} select transaction_id, case when model_version like 'second-look%' then 'SECOND_LOOK'
+else concat_ws(',', case when {_HELD} then 'MODEL' end, case when {_RULE} then 'RULE' end) end held_by,
+case when model_version like 'second-look%' then ml_score else final_score end score,
+case when model_version like 'second-look%' and model_version not like '%:unscored' then final_score end second_score from fin where decision = 'REVIEW'""")
+def held_by(spark, sf_dir):
+    """SC-19, CA-5."""
+    rows = final(spark, sf_dir).filter("decision = 'REVIEW'")
+    return rows.select("transaction_id", F.array_join(decision.held_by(0.9), ",").alias("held_by"),
+                       *[c.alias(n) for n, c in decision.both_scores().items()])
+
+
+@query(f"with {STORE} select decision, count(*) records, count(distinct transaction_id) transfers from rec_all group by decision")
+def decision_counts(spark, sf_dir):
+    """AGG-5."""
+    return D.decision_counts(records(spark, sf_dir))
+
+
+_MS = "round((scored_at_job * 1e6 - ingested_at * 1e6) / 1e3, 3)"
+
+
+@query(f"""with {STORE}, m as (select *, {_MS} ms from rec), o as (select ms, row_number() over (order by ms) - 1 r, count(*) over () c from m where ms is not null)
+select (select count(*) from m) checked, (select count(*) from m where decision = 'REVIEW') held,
+round((select avg(case when decision = 'REVIEW' then 1 else 0 end) from m), 6) share_held,
+(select ms from o where r = floor(0.5 * c)) median_ms, (select ms from o where r = floor(0.99 * c)) p99_ms""")
+def top_row(spark, sf_dir):
+    """AGG-6, AGG-7: nearest-rank median and p99 of the decision time."""
+    rows = records(spark, sf_dir).filter("model_version not like 'second-look%'").withColumn("decision_ms", F.round("decision_ms", 3))
+    return D.top_row(rows).select("checked", F.col("held").cast("bigint").alias("held"),
+                                  F.round("share_held", 6).alias("share_held"), "median_ms", "p99_ms")
+
+
+@query(f"with {STORE}, m as (select {_MS} ms from rec) select " + ", ".join(
+    f"round(avg(case when ms < {n} then 1 else 0 end) filter (ms is not null), 6) under_{n}_ms" for n in D.LATENCY_LIMITS_MS) + " from m")
+def latency_share(spark, sf_dir):
+    """AGG-8, SC-15."""
+    rows = records(spark, sf_dir).filter("model_version not like 'second-look%'").withColumn("decision_ms", F.round("decision_ms", 3))
+    return D.speed(rows).select(*[F.round(f"under_{n}_ms", 6).alias(f"under_{n}_ms") for n in D.LATENCY_LIMITS_MS])
+
+
+@query(f"""with {ROWS} select round(avg((k % 17) / 10) filter (k % 13 <> 0), 6) kafka, round(avg((k % 7) / 100), 6) handoff,
+round(avg(k % 5) filter (k % 4 = 0), 6) rules from rec""")
+def stage_means(spark, sf_dir):
+    """AGG-8, SC-16, SC-17: stages from stamps and from the job's map; an untimed one is null."""
+    k, base = F.col("k"), F.lit(1_700_000_000.0)
+    rows = records(spark, sf_dir).filter("model_version not like 'second-look%'").withColumn(
+        "stage_ms", F.map_concat(
+            D.before_operator(F.when(k % 13 != 0, base), base + (k % 17) / 10000, base + (k % 17) / 10000 + (k % 7) / 100000),
+            F.when(k % 4 == 0, F.create_map(F.lit("rules"), (k % 5).cast("double"))).otherwise(F.create_map().cast("map<string,double>"))))
+    return D.stage_means(rows.select("*", *[c.alias(n) for n, c in D.stage_columns().items()])).select(
+        F.round("kafka", 6).alias("kafka"), F.round("handoff", 6).alias("handoff"), F.round("rules", 6).alias("rules"))
+
+
+@query(f"""with {STORE}, h as (select event_us // 3600000000 hr, case when decision <> 'REVIEW' then 'none'
+when model_version like '%:unscored' then 'no answer' when model_version like 'second-look%' then 'second look'
+when {_RULE} then 'rules: ' || coalesce(predicted_type, 'other') else 'model' end holder from fin)
+select hr as hour_number, holder, count(*) n from h group by hr, holder""")
+def holds_over_time(spark, sf_dir):
+    """AGG-9."""
+    return D.holds_over_time(final(spark, sf_dir), 0.9, "1 hour").select(
+        F.floor(F.unix_micros("minute") / 3_600_000_000).alias("hour_number"), "holder", "n")
+
+
+@query(f"""with {STORE} select count(*) filter (decision = 'SECOND_LOOK') sent,
+count(*) filter (decision = 'REVIEW' and model_version like 'second-look%' and model_version not like '%:unscored') held,
+count(*) filter (decision = 'REVIEW' and model_version like 'second-look%:unscored') unanswered from rec_all""")
+def second_look_panel(spark, sf_dir):
+    """AGG-11."""
+    return D.second_look_panel(records(spark, sf_dir)).select(*[F.col(c).cast("bigint").alias(c) for c in ("sent", "held", "unanswered")])
+
+
+@query("""with r as (select o_orderkey, o_totalprice, o_orderdate from orders where o_orderkey % 100 = 0)
+select cast(o_orderkey as bigint) logged, round(o_totalprice, 2) served_f1 from r order by o_orderdate desc, o_orderkey limit 10""")
+def last_retrains(spark, sf_dir):
+    """TOP-5, SNK-8's columns: the ten newest runs."""
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 100 = 0").select(
+        F.struct(F.col("o_orderdate"), (-F.col("o_orderkey")).alias("n")).alias("run_at"),
+        F.col("o_orderkey").alias("logged"), F.round("o_totalprice", 2).alias("served_f1"))
+    return D.last_retrains(runs).select("logged", "served_f1")
+
+
+# --- Cases --------------------------------------------------------------------------------
+
+@query(f"""with {CASES} select transaction_id case_id, disposition, resolved_by, cast(round(resolved_at * 1000) as bigint) resolved_ms,
+explanation_status, amount_uzs, hits from ver""")
+def latest_case(spark, sf_dir):
+    """WIN-5, CA-1, CA-2: the highest version per case."""
+    judged = F.col("disposition") != "NEW"
+    status = F.col("explanation_status")
+    return cases(spark, sf_dir).select("case_id", "disposition", "resolved_by",
+                                       F.round(F.unix_micros("resolved_at") / 1000).cast("bigint").alias("resolved_ms"),
+                                       status, "amount_uzs", F.array_join("rule_hits", ",").alias("hits"))
+
+
+@query(f"with {STORE} select transaction_id case_id, 'nobody named' reason from fin where k % 3 <> 0 and k % 101 = 0 union all "
+       "select transaction_id, 'no such case' from fin where decision <> 'REVIEW' and k % 3 <> 0 and k % 101 <> 0 union all "
+       "select transaction_id, 'no such case' from fin where decision <> 'REVIEW' and k % 15 = 1")
+def refused_verdicts(spark, sf_dir):
+    """CA-2: verdicts that cannot stand."""
+    return case_versions(spark, sf_dir)[1].select("case_id", "reason")
+
+
+@query(f"""with {CASES} select transaction_id case_id, amount_uzs, final_score from ver where disposition = 'NEW'
+order by amount_uzs desc, final_score desc, scored_at_job, transaction_id limit 20""")
+def open_queue(spark, sf_dir):
+    """TOP-1."""
+    return queue.open_queue(cases(spark, sf_dir)).select("case_id", "amount_uzs", "final_score")
+
+
+@query(f"""with {CASES} select transaction_id case_id, disposition from ver where disposition <> 'NEW' and resolved_at >= 1700050000
+order by round(resolved_at * 1e6) desc, transaction_id limit 20""")
+def resolved_verdicts(spark, sf_dir):
+    """TOP-2."""
+    since = F.timestamp_seconds(F.lit(1_700_050_000))
+    return queue.resolved_since(cases(spark, sf_dir), since).select("case_id", "disposition")
+
+
+@query(f"with {CASES} select transaction_id case_id, amount_uzs, disposition from ver where transaction_id = '100'")
+def case_lookup(spark, sf_dir):
+    """TOP-3."""
+    return cases(spark, sf_dir).filter("case_id = '100'").select("case_id", "amount_uzs", "disposition")
+
+
+@query(f"""with {CASES} select transaction_id case_id, case when model_version like 'second-look%' then 'held by the second look; ' else '' end ||
+case when hits <> '' then replace(hits, ',', ', ') when explanation_status = 'OK' then 'model: amount: ' || amount_uzs || ' UZS (+0.50)'
+else '(unexplained: none)' end reason from ver where disposition = 'NEW'""")
+def queue_reasons(spark, sf_dir):
+    """SC-22. A judged case keeps its reasons, so only open ones are listed."""
+    rows = cases(spark, sf_dir).filter("disposition = 'NEW'")
+    return rows.select("case_id", queue.reason_text().alias("reason"))
+
+
+@query(f"""with {CASES} select count(*) filter (disposition = 'NEW') waiting, count(*) filter (disposition = 'CONFIRMED_FRAUD') blocked,
+count(*) filter (disposition = 'FALSE_POSITIVE') released, count(*) filter (disposition <> 'NEW') resolved, 0 reported,
+count(*) filter (explanation_status = 'OK') explained,
+round(count(*) filter (disposition = 'CONFIRMED_FRAUD') / count(*) filter (disposition <> 'NEW'), 6) as precision from ver""")
+def verdict_stats(spark, sf_dir):
+    """AGG-3, AGG-10."""
+    return queue.verdict_stats(cases(spark, sf_dir)).select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("waiting", "blocked", "released", "resolved", "reported", "explained")],
+        F.round("precision", 6).alias("precision"))
+
+
+@query(f"with {CASES} select case when explanation_status = '' then '(none)' else explanation_status end status, count(*) n from ver group by 1")
+def explanation_coverage(spark, sf_dir):
+    """AGG-3."""
+    return queue.explanation_coverage(cases(spark, sf_dir))
+
+
+@query(f"""with {CASES}, w as (select *, round((case when disposition = 'NEW' then {NOW} else resolved_at end) * 1e6) - round(scored_at_job * 1e6) wait from ver)
+select d.disposition, count(w.k) n, coalesce(sum(amount_uzs), 0)::bigint amount, round(median(wait) / 1e6, 3) median_s, round(max(wait) / 1e6, 3) max_s
+from (values ('NEW'), ('CONFIRMED_FRAUD'), ('FALSE_POSITIVE')) d(disposition) left join w using (disposition) group by d.disposition""")
+def hold_summary(spark, sf_dir):
+    """AGG-4: money and waits per disposition."""
+    return queue.hold_summary(cases(spark, sf_dir), NOW * 1_000_000).select(
+        "disposition", "n", "amount", F.round("median_s", 3).alias("median_s"), F.round("max_s", 3).alias("max_s"))
+
+
+@query(f"""with {CASES} select transaction_id case_id, decision, 'CONFIRMED_FRAUD' disposition, 'client' resolved_by, amount_uzs
+from fin where k % 17 = 0""")
+def client_reports(spark, sf_dir):
+    """CA-3: reported transfers; one that was let go keeps the system's decision."""
+    versions = case_versions(spark, sf_dir)[0]
+    rows = records(spark, sf_dir)
+    reports = rows.filter("k % 17 = 0 and model_version not like 'second-look%'").select(
+        "transaction_id", F.lit("client").alias("by"), F.lit(NOW * 1.0).alias("at"))
+    return C.report(versions, rows, reports).select("case_id", "decision", "disposition", "resolved_by", "amount_uzs")
+
+
+@query(f"""with {CASES} select receiver_card account from ver where disposition = 'CONFIRMED_FRAUD' union select receiver_card from rec where k < 3""")
+def confirmed_accounts(spark, sf_dir):
+    """CA-4, ST-11: accounts that a confirmed case or the history still names."""
+    history = records(spark, sf_dir).filter("k < 3").select(F.col("receiver_card").alias("account"))
+    return C.confirmed_now(case_versions(spark, sf_dir)[0], history)
+
+
+_SPANS = f"""{CASES}, jd as (select transaction_id id, receiver_card account, k, round(scored_at_job * 1e6) + (60 + k % 1000) * 1000000 a1,
+round(scored_at_job * 1e6) + 5000000000 a2 from hold where k % 3 <> 0 or k % 15 = 1),
+sp as (select account, cast(a1 as bigint) a, case when k % 15 = 1 then cast(a2 as bigint) end b from jd where k % 3 = 1 and k % 101 <> 0),
+pt as (select distinct account, a u from sp union select account, b from sp where b is not null)"""
+
+
+@query(f"""with {_SPANS}, cov as (select account, u, exists (select 1 from sp where sp.account = pt.account and a <= u and (b is null or b > u)) held_after,
+exists (select 1 from sp where sp.account = pt.account and a < u and (b is null or b >= u)) held_before from pt),
+ed as (select * from cov where held_after <> held_before), nx as (select *, lead(u) over (partition by account order by u) to_us from ed)
+select account, u from_us, to_us from nx where held_after""")
+def confirmed_intervals(spark, sf_dir):
+    """CA-4 over time: disjoint intervals for as-of use."""
+    return C.confirmed_intervals(case_versions(spark, sf_dir)[0])
+
+
+# --- Retraining ---------------------------------------------------------------------------
+
+@query(f"""with {STORE}, q as (select k, row_number() over (order by event_us, transaction_id) - 1 p, count(*) over () n, transaction_id from rec),
+ho as (select transaction_id from q where p >= floor(n * 0.8)) select transaction_id from fin where transaction_id not like 'replay-%'
+and transaction_id not in (select transaction_id from ho)""")
+def replay_antijoin(spark, sf_dir):
+    """AJ-6: no marked replays, none of the held-out days."""
+    rows = records(spark, sf_dir).filter("model_version not like 'second-look%'")
+    held = lookups.held_out_ids(rows.select("transaction_id", "event_us"))
+    return lookups.without_replays(final(spark, sf_dir), held).select("transaction_id")
+
+
+@query(f"""with {CASES}, lt as (select * from rec_all qualify row_number() over (partition by transaction_id order by scored_at_job desc) = 1),
+x as (select transaction_id, scored_at_job, coalesce((select 1 from ver where ver.transaction_id = lt.transaction_id and disposition = 'CONFIRMED_FRAUD'), 0) as label
+from lt where k % 6 <> 0 and transaction_id not like 'replay-%')
+select transaction_id, label from x where scored_at_job <= (select max(scored_at_job) from x) - 20000""")
+def settled_labels(spark, sf_dir):
+    """ML-16, ML-18, AJ-5, WIN-6: newest whole decisions per transfer, labelled, old enough."""
+    rows = records(spark, sf_dir).withColumn(
+        "features", F.when(F.col("k") % 6 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))))
+    none = rows.filter("false").select("transaction_id")
+    logged = training.logged_decisions(rows, cases(spark, sf_dir), none, 2)
+    return metrics.settled(logged, "scored_at_job", 20_000).select("transaction_id", F.col("label"))
+
+
+# --- Audit --------------------------------------------------------------------------------
+
+def audit_log(spark, sf_dir, chains=1) -> DataFrame:
+    core = audit.audit_core(final(spark, sf_dir).select(
+        "transaction_id", "event_time", "decision", "final_score", "model_version", "rule_hits",
+        F.sha2(F.col("transaction_id"), 256).alias("ingress_hash")))
+    return audit.append_chain(core, ["event_time", "transaction_id"], chains)
+
+
+@query(f"with {STORE} select row_number() over (order by event_us, transaction_id) - 1 seq, transaction_id, decision, sha256(transaction_id) ingress_hash from fin")
+def audit_chain(spark, sf_dir):
+    """AU-1..3: one chain in time order. Its hashes are checked by `audit_intact`."""
+    return audit_log(spark, sf_dir).select(F.col("seq").cast("bigint").alias("seq"), "transaction_id", "decision", "ingress_hash")
+
+
+@query(f"with {STORE} select 0 findings, count(*) records from fin")
+def audit_intact(spark, sf_dir):
+    """AU-4: a log of four chains as written has no finding."""
+    log = audit_log(spark, sf_dir, 4)
+    records = audit.chain_heads(log).agg(F.sum("records").alias("n")).select("n").scalar()
+    return audit.verify_chain(log).agg(F.count(F.lit(1)).alias("findings")).withColumn("records", records)
+
+
+@query(f"""with {STORE}, n as (select count(*) c, count(*) filter (row_n % 50 = 7) alt, count(*) filter (row_n % 50 = 11) del,
+count(*) filter (row_n % 50 = 23) dec, count(*) filter (row_n % 50 = 31) ids, count(*) filter (row_n % 50 = 43) bad, count(*) filter (row_n % 50 = 37) rep
+from (select row_number() over (order by event_us, transaction_id) - 1 row_n from fin))
+select del - case when (c - 1) % 50 = 11 then 1 else 0 end gaps, rep repeated, del - case when (c - 1) % 50 = 11 then 1 else 0 end broken_links, alt + bad altered, dec decisions, ids, bad bad_json from n""")
+def audit_verify(spark, sf_dir):
+    """AU-4, AU-5: a damaged log and how often each kind of damage is found."""
+    log, at = audit_log(spark, sf_dir), F.col("seq") % 50
+    log = log.filter(at != 11).withColumns({
+        "ingress_hash": F.when(at == 7, "0").otherwise(F.col("ingress_hash")),
+        "decision": F.when(at == 23, "NONE").otherwise(F.col("decision")),
+        "transaction_id": F.when(at == 31, "someone").otherwise(F.col("transaction_id")),
+        "payload": F.when(at == 43, "{not json").otherwise(F.col("payload"))})
+    log = log.unionByName(log.filter(at == 37))
+    found = audit.verify_chain(log)
+    kinds = {"gaps": "gap before", "repeated": "position repeated", "broken_links": "previous hash differs",
+             "altered": "content altered", "decisions": "decision differs from payload",
+             "ids": "id differs from payload", "bad_json": "payload is not JSON"}
+    return found.agg(*[F.count_if(F.col("finding") == text).alias(n) for n, text in kinds.items()])
+
+
+# --- Model --------------------------------------------------------------------------------
+
+def _small_committee(spark, sf_dir):
+    matrix = training.training_matrix(events(spark, sf_dir)).withColumn("label", F.expr("if(array_size(rule_hits) > 2, 1, 0)"))
+    parts = metrics.time_split(matrix).persist()
+    fitted = model.fit_committee(parts.filter("part = 'fit'"), FEATURES, seeds=(42, 43), trees=4, depth=3, step=0.3)
+    return fitted, parts
+
+
+@query()
+def committee_score(spark, sf_dir):
+    """ML-1, ML-4, ML-5: a committee fitted on the early rows scores the later ones."""
+    fitted, parts = _small_committee(spark, sf_dir)
+    return model.score(fitted, parts.filter("part <> 'fit'")).select("transaction_id", F.round("ml_score", 6).alias("ml_score"))
+
+
+@query()
+def explain_top3(spark, sf_dir):
+    """ML-24, SC-18, SC-20, SC-21, TOP-6: the three largest pushes of each held transfer in words, parsed back."""
+    fitted, parts = _small_committee(spark, sf_dir)
+    rows = model.score(fitted, parts.filter("part = 'test'")).select(
+        "transaction_id", F.array(*FEATURES).alias("features"), "ml_score").filter("ml_score >= 0.5")
+    told = model.explain_holds(fitted, rows)
+    return told.select("transaction_id", "explanation_status", F.array_join("explanation", " | ").alias("explanation"),
+                       F.size(phrases.split_phrases(F.col("explanation"))).alias("parsed"))
