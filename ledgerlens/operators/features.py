@@ -51,6 +51,26 @@ class Census:
         return Census(seen[2] or 0, (seen[0] or 0) > limit, (seen[1] or 0) > limit)
 
 
+@dataclass(frozen=True)
+class Prior:
+    """What transfers before a moment add up to, when the input begins there. `senders`: account,
+    hist_* and login_* (n, sum, m2, low, high), last_sent, last_place; `regions`: sender_key,
+    region_here, region_count, region_first; `pairs`: payee_key, sender_key, last; `payers`:
+    payee_key, payer_id, last."""
+    senders: DataFrame
+    regions: DataFrame
+    pairs: DataFrame
+    payers: DataFrame
+
+
+def _since_ever(rows: DataFrame, pair: list[str], prefix: str, prior: DataFrame | None) -> DataFrame:
+    """How long ago a pair last met, earlier than the input too."""
+    if prior is None:
+        return rows.withColumn(f"{prefix}_ever", F.col(f"{prefix}_prev"))
+    return (rows.join(prior.select(*pair, F.col("last").alias("_last")), pair, "left")
+            .withColumn(f"{prefix}_ever", F.expr(f"coalesce({prefix}_prev, event_us - _last)")).drop("_last"))
+
+
 def _entries(rows: DataFrame, key: str, half: int, ends: list[int], horizon: int,
              keep: list[str]) -> DataFrame:
     """A transfer's own entry and the ends of its windows, up to the last transfer. The transfer
@@ -110,7 +130,8 @@ def contact_marks(rows: DataFrame, confirmed: DataFrame, census: Census) -> Data
         f"inline(filter(array({side('from', 1)}, {side('to', -1)}), e -> e.at <= {census.horizon}))"))
 
 
-def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Census) -> DataFrame:
+def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Census,
+                        prior: Prior | None = None) -> DataFrame:
     """Fan-in, inflow, new payers, flags and contacts of the paid account, and the pair times of
     sender and payee that the sender's side needs."""
     heavy = census.heavy_payee
@@ -121,9 +142,11 @@ def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Ce
     payer, pair = ["payee_key", "payer_id"], ["payee_key", "sender_key"]
     rows = pair_times(rows, pair, "pair", cut(base, pair, ORDER))
     rows = pair_times(rows, payer, "payer", cut(base, payer, ORDER))
-    money, new = F.col("amount_tiyin").alias("money"), f"if(prev_gap <= {S.MONTH * US}, 0, 1)"
+    rows = _since_ever(rows, pair, "pair", prior and prior.pairs)
+    rows = _since_ever(rows, payer, "payer", prior and prior.payers)
+    new = F.expr(f"if(payer_ever <= {S.MONTH * US}, 0, 1)").alias("new")
     rows = rows.withColumnsRenamed({"payer_prev": "prev_gap", "payer_next": "next_gap"})
-    keep = [money, "prev_gap", "next_gap"]
+    keep = [F.col("amount_tiyin").alias("money"), "prev_gap", "next_gap", new]
     line = _entries(rows, "payee_key", IN, [END_1H, END_24H, END_7D], census.horizon, keep)
     if confirmed is not None:
         marks = flag_marks(confirmed, census.horizon).unionByName(contact_marks(base, confirmed, census))
@@ -134,7 +157,7 @@ def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Ce
     line = running(line, ["account"], PLACE, {
         "run_in_1h": _window_sum("money", END_1H), "run_in_24h": _window_sum("money", END_24H),
         "run_payers_1h": _window_distinct(END_1H), "run_payers_24h": _window_distinct(END_24H),
-        "run_payers_7d": _window_distinct(END_7D), "run_new": _window_sum(new, END_24H),
+        "run_payers_7d": _window_distinct(END_7D), "run_new": _window_sum("new", END_24H),
         "run_flagged": _steps(FLAG), "run_contacts": _steps(CONTACT)},
         cut(line, ["account"], PLACE))
     # A transfer without a payee key has no payee's side to read.
@@ -148,11 +171,11 @@ def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Ce
         f"{seen('payers_7d')} payee_payers_7d",
         f"{seen('new')} payee_new_payers_24h",
         f"cast({seen('flagged')} > 0 as int) payee_flagged",
-        f"{seen('contacts')} payee_flagged_contacts").drop("prev_gap", "next_gap")
+        f"{seen('contacts')} payee_flagged_contacts").drop("prev_gap", "next_gap", "payer_ever")
 
 
 def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFrame | None,
-                         census: Census) -> DataFrame:
+                         census: Census, prior: Prior | None = None) -> DataFrame:
     """The sender's own habits, windows, flags and journey, and when it was last paid.
 
     `rows` carry the pair times; `credits` are all transfers again, by payee.
@@ -168,10 +191,15 @@ def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFra
                     "region_first": Min(F.struct("event_us", "transaction_id"))},
                    cut(credits.selectExpr("sender_key", "coalesce(sender_region, '') region_here", *ORDER),
                        home_key, ORDER))
+    if prior is not None:
+        rows = (rows.join(prior.regions.withColumnsRenamed({"region_count": "_n", "region_first": "_first"}),
+                          home_key, "left")
+                .withColumns({"region_count": F.expr("region_count + coalesce(_n, 0)"),
+                              "region_first": F.least("region_first", "_first")}).drop("_n", "_first"))
     rows = rows.withColumnsRenamed({"pair_prev": "prev_gap", "pair_next": "next_gap"})
     low, high = S.STRUCTURING_BAND_LOW * S.STRUCTURING_THRESHOLD, S.STRUCTURING_THRESHOLD
     keep = [F.col("amount_tiyin").alias("money"), "prev_gap", "next_gap",
-            F.expr(f"if(amount >= {low}D and amount < {high}D, 1, 0)").alias("band")]
+            F.expr("if(pair_ever is null, 1, 0)").alias("new"), F.expr(f"if(amount >= {low}D and amount < {high}D, 1, 0)").alias("band")]
     line = _entries(rows, "sender_key", OUT, [END_10M, END_1H, END_24H, END_7D], census.horizon, keep)
     paid = credits.selectExpr(
         "payee_key account", f"{PAID} kind", "event_us at", f"{TRANSFER} rank", "transaction_id id",
@@ -181,13 +209,12 @@ def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFra
     else:
         paid = paid.withColumn("step", F.lit(0))
     line = line.unionByName(paid if heavy else paid.repartition("account"), allowMissingColumns=True)
-    first = "if(prev_gap is null, {}, 0)".format
     line = running(line, ["account"], PLACE, {
         "run_sent_10m": _window_sum("1", END_10M), "run_sent_1h": _window_sum("1", END_1H),
         "run_band_1h": _window_sum("band", END_1H), "run_sum_24h": _window_sum("money", END_24H),
         "run_payees_10m": _window_distinct(END_10M), "run_payees_24h": _window_distinct(END_24H),
-        "run_payees_7d": _window_distinct(END_7D), "run_new_24h": _window_sum(first(1), END_24H),
-        "run_new_sum_24h": _window_sum(first("money"), END_24H), "run_flagged": _steps(FLAG),
+        "run_payees_7d": _window_distinct(END_7D), "run_new_24h": _window_sum("new", END_24H),
+        "run_new_sum_24h": _window_sum("new * money", END_24H), "run_flagged": _steps(FLAG),
         "hist": Moments(F.col("transfer.amount")),
         "login": Moments(F.expr("log1p(transfer.secs_login)")),
         "last_sent": Max(F.col("transfer.event_us"), before=True),
@@ -198,14 +225,32 @@ def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFra
                            "transfer.region_first first, transfer.region_here region))"), before=True),
         "last_paid": Max(F.col("paid_us"), before=True),
     }, cut(line, ["account"], PLACE))
-    line = line.filter("transfer is not null").drop("money", "prev_gap", "next_gap", "band")
+    line = line.filter("transfer is not null").drop("money", "prev_gap", "next_gap", "band", "new")
+    if prior is not None:
+        line = _after_prior(line, prior)
     mine = _sender_columns()
     keep = [c for c in rows.columns if c not in
-            ("region_here", "region_count", "region_first", "prev_gap", "next_gap")]
+            ("region_here", "region_count", "region_first", "prev_gap", "next_gap", "pair_ever")]
     return (line.select("*", "transfer.*")
             .selectExpr(*[f"`{c}`" for c in keep], *[f"{e} as {n}" for n, e in mine.items()]))
 
 
+def _after_prior(line: DataFrame, prior: Prior) -> DataFrame:
+    """The sender's measures with what came before the input added."""
+    homes = prior.regions.groupBy(F.col("sender_key").alias("account")).agg(
+        F.min(F.struct((-F.col("region_count")).alias("count"), F.col("region_first").alias("first"),
+                       F.col("region_here").alias("region"))).alias("home"))
+    known = prior.senders.join(homes, "account", "left")
+    known = known.select("account", *[F.col(c).alias(f"_c_{c}") for c in known.columns if c != "account"])
+    line = line.join(known, "account", "left")
+    carried = lambda c: F.col(f"_c_{c}")
+    merged = {n: c for name in ("hist", "login") for n, c in Moments(F.lit(0)).merge(carried, name).items()}
+    merged |= {c: F.greatest(F.col(c), carried(c)) for c in ("last_sent", "last_place")}
+    merged["home"] = F.least(F.col("home"), carried("home"))
+    return line.select(*[merged[c].alias(c) if c in merged else F.col(c) for c in line.columns
+                         if not c.startswith("_c_")])
+
+
 def _sender_columns() -> dict[str, str]:
     """Feature -> SQL over the running measures and the transfer's own columns."""
     moved = "(last_place is not null and region_here <> '' and region_here <> last_place.region)"
@@ -215,7 +260,7 @@ def _sender_columns() -> dict[str, str]:
         "log_amount": "log1p(amount)",
         "amount_to_mean": f"if(hist_mean > 0, amount / hist_mean, {S.NO_MEAN_RATIO}D)",
         "amount_z": "if(hist_std > 0, (amount - hist_mean) / hist_std, 0D)",
-        "is_new_payee": "cast(prev_gap is null as int)",
+        "is_new_payee": "cast(pair_ever is null as int)",
         "vel_10m": "run_sent_10m",
         "vel_1h": "run_sent_1h",
         "distinct_payees_10m": "run_payees_10m",
@@ -241,17 +286,19 @@ def _sender_columns() -> dict[str, str]:
 
 
 def transfer_features(transfers: DataFrame, confirmed: DataFrame | None = None,
-                      profile: Profile = FULL, payee_side: bool = True) -> DataFrame:
+                      profile: Profile = FULL, payee_side: bool = True,
+                      prior: Prior | None = None) -> DataFrame:
     """Every transfer with the features its profile can supply and the rule helpers.
 
     `confirmed` holds the confirmed accounts' half-open intervals (account, from_us, to_us).
+    `prior` is what came before an input that begins a week or more before the transfers asked for.
     `payee_side` False reads the payee's side as nothing seen, as when its store is down.
     """
     if not profile.has("confirmed_cases"):
         confirmed = None
     census = Census.of(transfers)
-    rows = with_payee_features(transfers, confirmed, census)
-    rows = with_sender_features(rows, transfers, confirmed, census)
+    rows = with_payee_features(transfers, confirmed, census, prior)
+    rows = with_sender_features(rows, transfers, confirmed, census, prior)
     if not payee_side:
         rows = rows.withColumns(_nothing_seen())
     unavailable = [f for f in FEATURES if f not in profile.feature_names]
