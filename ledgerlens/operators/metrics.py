@@ -49,23 +49,24 @@ def class_weight(rows: DataFrame, mode: str = "auto") -> DataFrame:
     return counts.withColumn("weight", weight.cast("double"))
 
 
-def score_curve(rows: DataFrame) -> DataFrame:
-    """Per distinct score: its rows and positives, and the alerts and catches of a cut there."""
-    points = rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"),
-                                       F.sum(F.col("label").cast("bigint")).alias("pos"))
-    points = points.withColumn("falling", -F.col("score"))
-    curve = running_within(points, [], ["falling"], {"alerts": Sum(F.col("n")), "caught": Sum(F.col("pos"))})
-    total = points.agg(F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    return curve.withColumns({"positives": total.select("p").scalar(),
-                              "rows": total.select("n").scalar()}).drop("falling")
+def score_points(rows: DataFrame) -> DataFrame:
+    """Per distinct score: its rows and positives, counted before the shuffle."""
+    return rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos"))
+
+
+def score_curve(points: DataFrame) -> DataFrame:
+    """The alerts and catches of a cut at each distinct score; the last ones are all rows and frauds."""
+    falling = points.withColumn("falling", -F.col("score"))
+    return running_within(falling, [], ["falling"], {"alerts": Sum(F.col("n")), "caught": Sum(F.col("pos"))}).drop("falling")
 
 
 def best_f1_cutoff(rows: DataFrame) -> DataFrame:
     """The score whose cut has the best F1; the lowest of equals."""
+    positives = rows.agg(F.sum("label").alias("p")).select("p").scalar()
     precision = F.col("caught") / F.col("alerts")
-    recall = F.col("caught") / F.nullif(F.col("positives"), F.lit(0))
+    recall = F.col("caught") / F.nullif(F.col("p"), F.lit(0))
     f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))
-    return (score_curve(rows).withColumn("f1", F.coalesce(f1, F.lit(0.0)))
+    return (score_curve(score_points(rows)).withColumn("p", positives).withColumn("f1", F.coalesce(f1, F.lit(0.0)))
             .agg(F.max_by("score", F.struct("f1", -F.col("score"))).alias("cutoff"),
                  F.max("f1").alias("f1")))
 
@@ -86,11 +87,11 @@ def reading(rows: DataFrame, alert: Column, by: tuple = ()) -> DataFrame:
 def ranking(rows: DataFrame) -> DataFrame:
     """Exact ROC-AUC (ties share their rank) and average precision."""
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
-    p, n = F.max("positives"), F.max("rows")
-    # Negatives under a score's own group.
-    below = (F.col("rows") - F.col("positives")) - (F.col("alerts") - F.col("caught"))
-    wins = F.sum(pos * (below + neg / 2))
-    return score_curve(rows).agg(
+    p, n = F.max("caught"), F.max("alerts")
+    # A positive beats the negatives under its score, all but those at or above it, and half its equals.
+    above = F.col("alerts") - F.col("caught")
+    wins = p * (n - p) - F.sum(pos * (above - neg / 2))
+    return score_curve(score_points(rows)).agg(
         (wins / F.nullif(p * (n - p), F.lit(0))).alias("roc_auc"),
         (F.sum(pos * F.col("caught") / F.col("alerts")) / F.nullif(p, F.lit(0))).alias("average_precision"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,3 +60,14 @@ def materialised(build, source: DataFrame, columns: list[str], folder: str, refu
             raise ValueError(f"{folder} was built from other data or columns")
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """`rows` written once, as a table in the shared folder the cluster names, and read from there: for
+    a result that several plans go on from. Only a session without such a folder, as in tests, gets a
+    folder of its own."""
+    spark = rows.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{shared.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
