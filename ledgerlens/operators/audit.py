@@ -6,6 +6,9 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quantiles import running_within
+from .timeline import Sum, small
+
 # The hashed fields of an event, in order.
 INGRESS_FIELDS = ("transaction_id", "event_time", "sender_pinfl", "sender_card", "receiver_card",
                   "amount_uzs", "sender_region")
@@ -56,6 +59,12 @@ def _link(batches):
         yield pdf.drop(columns="start_hash").assign(prev_hash=prev_col, record_hash=hash_col)
 
 
+def chain_of(transaction_id: Column, chains: int) -> Column:
+    """The chain a record belongs to, from its id alone."""
+    number = F.conv(F.substring(F.md5(transaction_id.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return (number % chains).cast("int")
+
+
 def append_chain(core: DataFrame, order: list[str], chains: int = 1,
                  tails: DataFrame | None = None) -> DataFrame:
     """`core` with chain_id, seq, prev_hash and record_hash, going on from each chain's tail.
@@ -63,17 +72,14 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
     A chain is serial by definition: one task walks it, streaming. `chains` spreads the records
     over that many independent chains, so a large load has as many walkers; 1 is the plain log.
     """
-    from .quantiles import running_within
-    from .timeline import Sum
-    rows = core.withColumn("chain_id", F.pmod(F.xxhash64("transaction_id"), F.lit(chains)).cast("int"))
+    rows = core.withColumn("chain_id", chain_of(F.col("transaction_id"), chains))
     rows = running_within(rows, ["chain_id"], order, {"_place": Sum(F.lit(1).cast("bigint"), before=True)})
     if tails is None:
         rows = rows.withColumns({"_from": F.lit(0).cast("bigint"), "start_hash": F.lit(GENESIS)})
     else:
         ends = tails.groupBy("chain_id").agg(F.max("seq").alias("_seq"),
                                              F.max_by("record_hash", "seq").alias("_hash"))
-        # One row per chain.
-        rows = rows.join(F.broadcast(ends), "chain_id", "left").withColumns({
+        rows = rows.join(small(ends), "chain_id", "left").withColumns({
             "_from": F.coalesce(F.col("_seq") + 1, F.lit(0).cast("bigint")),
             "start_hash": F.coalesce("_hash", F.lit(GENESIS))}).drop("_seq", "_hash")
     rows = rows.withColumn("seq", F.col("_from") + F.col("_place")).drop("_from", "_place")
@@ -94,7 +100,7 @@ def verify_chain(log: DataFrame, window: int | None = None) -> DataFrame:
         log = log.withColumn("chain_id", F.lit(0))
     if window is not None:
         newest = log.groupBy("chain_id").agg(F.max("seq").alias("_newest"))
-        log = (log.join(newest, "chain_id").filter(F.col("seq") > F.col("_newest") - window).drop("_newest"))
+        log = (log.join(small(newest), "chain_id").filter(F.col("seq") > F.col("_newest") - window).drop("_newest"))
     at = ["chain_id", "seq"]
     finding = lambda c, text: F.when(c, text)
     payload = F.try_parse_json("payload")
@@ -111,7 +117,8 @@ def verify_chain(log: DataFrame, window: int | None = None) -> DataFrame:
                                   F.max("prev_hash").alias("prev_high"), F.max("record_hash").alias("record_hash"))
     before = places.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("expected"))
     heads = places.groupBy("chain_id").agg(F.min("seq").alias("head"))
-    linked = places.join(before, at, "left").join(heads, "chain_id")
+    # One row per chain; joined by shuffle, a chain would meet in one task.
+    linked = places.join(before, at, "left").join(small(heads), "chain_id")
     first = F.col("seq") == F.col("head")
     off = lambda hash_: (F.col("prev_hash") != hash_) | (F.col("prev_high") != hash_)
     head_off = F.lit(False) if window is not None else first & off(F.lit(GENESIS))

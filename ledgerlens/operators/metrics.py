@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings as S
 from .quantiles import exact_quantiles, running_within, with_position
-from .timeline import Sum
+from .timeline import Sum, small
 
 
 def time_split(rows: DataFrame, fit: float = S.TRAIN_SHARE * S.FIT_SHARE, train: float = S.TRAIN_SHARE,
@@ -186,8 +186,8 @@ def psi(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = 10) ->
     edges = exact_quantiles(seen, ["feature"], "value", names).select(
         "feature", F.array_distinct(F.array(*names)).alias("edges"))
     sides = long_ref.withColumn("cur", F.lit(0)).unionByName(long_cur.withColumn("cur", F.lit(1)))
-    # One row of edges per feature.
-    placed = sides.join(F.broadcast(edges), "feature", "left").withColumn(
+    edges = small(edges)      # one row per feature
+    placed = sides.join(edges, "feature", "left").withColumn(
         "edges", F.coalesce("edges", F.array().cast("array<double>")))
     gap = F.col("value").isNull() | F.isnan("value")
     bin_ = F.when(gap, -1).otherwise(F.size(F.filter("edges", lambda e: F.col("value") >= e)))
@@ -195,7 +195,7 @@ def psi(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = 10) ->
         F.sum((F.col("cur") == 0).cast("bigint")).alias("p"), F.sum((F.col("cur") == 1).cast("bigint")).alias("q"))
     # All bins, the empty ones too: at most `bins` + 1 per feature.
     frame = (counted.groupBy("feature").agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-             .join(F.broadcast(edges), "feature", "left")
+             .join(edges, "feature", "left")
              .select("feature", "np", "nq", (F.coalesce(F.size("edges"), F.lit(0)) + 2).alias("bins"),
                      F.explode(F.sequence(F.lit(-1), F.coalesce(F.size("edges"), F.lit(0)))).alias("bin")))
     both = frame.join(counted, ["feature", "bin"], "left")

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .timeline import Sum, plan_slices, running
+from .timeline import Sum, plan_slices, running, small
 
 ALL = "_all"
 
@@ -28,12 +28,13 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str
                     nearest: bool = False) -> DataFrame:
     """Exact quantiles per group, interpolated linearly, or the value at int(q*n) if `nearest`."""
     counts = value_counts(rows, by, value)
-    ranked = running_within(counts, by, [value], {"upto": Sum(F.col("n"))})
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    if by:
-        ranked = ranked.join(totals, by)
-    else:
-        ranked = ranked.withColumn("total", totals.select("total").scalar())
+    keyed = counts if by else counts.withColumn(ALL, F.lit(0))
+    key = by or [ALL]
+    slices = plan_slices(keyed, key, [value])
+    ranked = running(keyed, key, [value], {"upto": Sum(F.col("n"))}, slices)
+    totals = keyed.groupBy(*key).agg(F.sum("n").alias("total"))
+    # A group that had to be cut must not meet again in one task because of its total.
+    ranked = ranked.join(small(totals) if slices else totals, key)
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1      # ranks from 0
     at = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col(value)))
     out = []

@@ -171,6 +171,15 @@ class Slices:
     deepest: int
 
 
+def small(rows: DataFrame, limit: int = 100_000) -> DataFrame:
+    """`rows` as a broadcast side when there are no more than `limit` of them, counted first; else as
+    they are, for the optimizer to join by shuffle."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        return rows
+    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema))
+
+
 def rows_per_slice(spark) -> int:
     return int(spark.conf.get("ledgerlens.rowsPerSlice", str(ROWS_PER_SLICE)))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import settings as S
 from ..contract import with_keys
 from ..functions import scalars
 from ..functions.geo import REGIONS
 from ..operators.quantiles import exact_quantiles
+from ..operators.timeline import small
 from ..profile import FULL, Profile, foreign
 
 US = S.SECOND_US
@@ -134,13 +135,12 @@ def scale_factors(rows: DataFrame, amount: str, by: list[str]) -> DataFrame:
 
 
 def rescaled(rows: DataFrame, amount: str, by: list[str]) -> DataFrame:
-    """`rows` with `scaled_amount`. The factors are one row per group, so the join is left to the
-    optimizer; a single factor is a scalar."""
+    """`rows` with `scaled_amount`. There is one factor per group, whatever the group's size."""
     factors = scale_factors(rows, amount, by)
     if not by:
         scale = factors.select("scale").scalar()
         return rows.withColumn("scaled_amount", F.col(amount).cast("double") * scale)
-    return rows.join(factors.select(*by, "scale"), by, "left").withColumn(
+    return rows.join(small(factors.select(*by, "scale")), by, "left").withColumn(
         "scaled_amount", F.col(amount).cast("double") * F.col("scale"))
 
 
