@@ -75,3 +75,9 @@ HOUR_SQL = "cast(floor(pmod(event_us, 86400000000) / 3600000000) as double)"
 def span_ms(start_us: Column, end_us: Column) -> Column:
     """Milliseconds between two stamps, null when one is missing."""
     return (end_us - start_us) / 1000.0
+
+
+def spread(ident: Column, buckets: int) -> Column:
+    """An id's bucket out of `buckets`, evenly and always the same."""
+    number = F.conv(F.substring(F.md5(ident.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return (number % buckets).cast("int")

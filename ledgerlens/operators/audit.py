@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import spread
 from .quantiles import running_within
 from .timeline import Sum, small
 
@@ -59,12 +60,6 @@ def _link(batches):
         yield pdf.drop(columns="start_hash").assign(prev_hash=prev_col, record_hash=hash_col)
 
 
-def chain_of(transaction_id: Column, chains: int) -> Column:
-    """The chain a record belongs to, from its id alone."""
-    number = F.conv(F.substring(F.md5(transaction_id.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return (number % chains).cast("int")
-
-
 def append_chain(core: DataFrame, order: list[str], chains: int = 1,
                  tails: DataFrame | None = None) -> DataFrame:
     """`core` with chain_id, seq, prev_hash and record_hash, going on from each chain's tail.
@@ -72,7 +67,7 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
     A chain is serial by definition: one task walks it, streaming. `chains` spreads the records
     over that many independent chains, so a large load has as many walkers; 1 is the plain log.
     """
-    rows = core.withColumn("chain_id", chain_of(F.col("transaction_id"), chains))
+    rows = core.withColumn("chain_id", spread(F.col("transaction_id"), chains))
     rows = running_within(rows, ["chain_id"], order, {"_place": Sum(F.lit(1).cast("bigint"), before=True)})
     if tails is None:
         rows = rows.withColumns({"_from": F.lit(0).cast("bigint"), "start_hash": F.lit(GENESIS)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
+from ..functions.scalars import spread
 from .metrics import time_split
 from .quantiles import running_within
 from .timeline import Sum, small
@@ -95,7 +96,7 @@ def known_labels(decided: DataFrame, held_delay_s: int = S.CONFIRMATION_DELAY,
                  report_delay_s: int = S.REPORT_DELAY, reported_share: float = 0.5) -> DataFrame:
     """When each fraud becomes known: a held one after the verdict's delay, a share of the missed
     ones after the report's delay, the others never."""
-    reported = F.pmod(F.xxhash64("transaction_id"), F.lit(1000)) < int(reported_share * 1000)
+    reported = spread(F.col("transaction_id"), 1000) < int(reported_share * 1000)
     known = (F.when((F.col("label") == 1) & (F.col("decision") == "REVIEW"),
                     F.col("event_us") + held_delay_s * S.SECOND_US)
              .when((F.col("label") == 1) & reported, F.col("event_us") + report_delay_s * S.SECOND_US))

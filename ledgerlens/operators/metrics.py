@@ -119,8 +119,8 @@ def alert_budget(rows: DataFrame, share: float = S.ALERT_BUDGET, tie: str = "tra
     """What the riskiest share of the rows holds, equal scores in a fixed order."""
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
     size = F.greatest(F.lit(1), F.bround(totals.select("n").scalar() * share, 0).cast("bigint"))
-    placed = with_position(rows, [-F.col("score"), F.col(tie)])
-    top = placed.filter(F.col("position") < size)
+    placed = with_position(rows, [-F.col("score"), F.col(tie)], "_place")
+    top = placed.filter(F.col("_place") < size)
     return (top.agg(F.count(F.lit(1)).alias("budget_alerts"), F.sum("label").cast("bigint").alias("budget_caught"))
             .withColumn("fraud", totals.select("p").scalar().cast("bigint"))
             .withColumns({"budget_recall": F.col("budget_caught") / F.greatest("fraud", F.lit(1)),
@@ -158,8 +158,8 @@ def training_pieces(rows: DataFrame, piece_rows: int = S.PIECE_ROWS, seed: int =
         raise ValueError(f"{fraud} frauds leave no room in pieces of {piece_rows} rows")
     pieces = max(1, -(-legit // (piece_rows - fraud)))
     dealt = with_position(rows.filter("label = 0"), [F.xxhash64(F.lit(seed), "transaction_id"),
-                                                     F.col("transaction_id")])
-    dealt = dealt.withColumn("piece", F.pmod(F.col("position"), F.lit(pieces)).cast("int")).drop("position")
+                                                     F.col("transaction_id")], "_place")
+    dealt = dealt.withColumn("piece", F.pmod(F.col("_place"), F.lit(pieces)).cast("int")).drop("_place")
     everywhere = rows.filter("label = 1").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     return dealt.unionByName(everywhere)
 

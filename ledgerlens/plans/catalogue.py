@@ -171,6 +171,47 @@ def travel_false_alarms(spark, sf_dir):
         "moves", F.col("fired").cast("bigint").alias("fired"), _r("rate"))
 
 
+# The same events at their own pace, so that weeks and months are not all in one window.
+_NATIVE = ALL.replace("(us0 - " + str(Q.EPOCH) + ") // 60 us", "(us0 - " + str(Q.EPOCH) + ") us").replace(
+    "value * 60000 amount, cast(round(value * 6000000)", "value * 20000 amount, cast(round(value * 2000000)").replace(
+    f"+ {DELAY * 1_000_000} since", f"+ {S.CONFIRMATION_DELAY * 1_000_000} since")
+_LONG = ("payee_payers_7d", "sender_payees_7d", "payee_payers_24h", "sender_payees_24h", "payee_new_payers_24h",
+         "sender_new_payees_24h", "payee_flagged", "sender_flagged", "payee_flagged_contacts", "is_new_payee", "geo_is_anomaly")
+_LONG_REAL = ("secs_since_sender_inbound", "secs_since_last", "amount_z", "secs_login_z", "travel_distance_km", "payee_inflow_24h")
+
+
+def native(spark, sf_dir) -> DataFrame:
+    return adapters.from_events(spark, sf_dir, compress=1, per_value=20_000)
+
+
+@query(_sql(_NATIVE, _LONG_REAL, _LONG))
+def native_pace(spark, sf_dir):
+    """FS-*, FP-* over a month: windows of days and weeks that do not all hold everything."""
+    t = native(spark, sf_dir)
+    return transfer_features(t, confirmed_from_labels(t)).select(*_cols(*_LONG_REAL, whole=_LONG))
+
+
+_FRESH = Q.EPOCH + 20 * S.DAY * 1_000_000
+
+
+@query(_sql(_NATIVE, _LONG_REAL, _LONG) + f" where us >= {_FRESH}")
+def incremental_features(spark, sf_dir):
+    """ST-9, SURVEY 7.4: the last ten days scored from a week of context and a summary of what came
+    before, as the live job does; the same answers as over all history."""
+    from ..streaming.snapshots import WEEK_US, summarise
+    t, base = native(spark, sf_dir), _FRESH - WEEK_US
+    recent = t.filter(F.col("event_us") >= base).withColumn("fresh", F.col("event_us") >= _FRESH)
+    rows = transfer_features(recent, confirmed_from_labels(t), prior=summarise(t.filter(F.col("event_us") < base)))
+    return rows.filter("fresh").select(*_cols(*_LONG_REAL, whole=_LONG))
+
+
+@query(f"""with {_DECIDED} select tid transaction_id, case when decision = 'REVIEW' then us + 86400000000
+when cast('0x' || substr(md5(tid), 1, 8) as bigint) % 1000 < 500 then us + 604800000000 end known_us from d where label = 1""")
+def label_availability(spark, sf_dir):
+    """ML-27: when each fraud becomes known."""
+    return lookups.known_labels(decided(spark, sf_dir)).filter("label = 1").select("transaction_id", "known_us")
+
+
 def _ties(spark, sf_dir):
     return transfer_features(adapters.from_orders(spark, sf_dir))
 

@@ -493,7 +493,7 @@ def audit_verify(spark, sf_dir):
 
 def _small_committee(spark, sf_dir):
     matrix = training.training_matrix(events(spark, sf_dir)).withColumn("label", F.expr("if(array_size(rule_hits) > 2, 1, 0)"))
-    parts = metrics.time_split(matrix).persist()
+    parts = stored(metrics.time_split(matrix))
     fitted = model.fit_committee(parts.filter("part = 'fit'"), FEATURES, seeds=(42, 43), trees=4, depth=3, step=0.3)
     return fitted, parts
 
@@ -514,3 +514,27 @@ def explain_top3(spark, sf_dir):
     told = model.explain_holds(fitted, rows)
     return told.select("transaction_id", "explanation_status", F.array_join("explanation", " | ").alias("explanation"),
                        F.size(phrases.split_phrases(F.col("explanation"))).alias("parsed"))
+
+
+@query()
+def second_look_model(spark, sf_dir):
+    """ML-20..22: a second model, fitted on pieces of the early rows, re-reads the band."""
+    _, parts = _small_committee(spark, sf_dir)
+    names = ["log_amount", "amount_z", "vel_1h", "payee_payers_24h", "daily_sum_ratio"]
+    fit = parts.filter("part = 'fit'")
+    room = 2 * int(fit.agg(F.sum("label")).first()[0] or 0) + 500
+    band = metrics.second_look_band(parts.filter("part = 'tune'").withColumn("score", F.col("cep_score") / 2), 0.4)
+    return model.second_look_scores(fit, band, names, piece_rows=room).select(
+        "transaction_id", F.round("second_score", 6).alias("second_score"))
+
+
+@query()
+def retrain_run(spark, sf_dir):
+    """ML-13..19, SNK-8: one retrain run over logged decisions, as the row it leaves."""
+    from ..sources.sinks import run_row
+    from datetime import datetime, timezone
+    served, parts = _small_committee(spark, sf_dir)
+    logged = parts.drop("part", "position").withColumn("decided_at", F.col("event_us") / 1e6)
+    status = training.retrain(parts.drop("part", "position"), logged, served, 0.5, FEATURES, min_rows=100, min_fraud=5,
+                              delay_s=3600, seeds=(42,), trees=4, depth=3, step=0.3)
+    return run_row(spark, status, datetime(2024, 1, 2, tzinfo=timezone.utc))

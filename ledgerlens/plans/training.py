@@ -11,6 +11,7 @@ from ..operators.features import transfer_features
 from ..operators.lookups import labelled_by_verdicts, without_replays
 from ..operators.rules import with_rules
 from ..profile import FULL, Profile
+from ..sources.files import stored
 from .model import Committee, fit_committee, score, second_look_scores
 
 
@@ -39,9 +40,9 @@ def logged_decisions(decisions: DataFrame, cases: DataFrame, held_out: DataFrame
 
 def train(matrix: DataFrame, profile: Profile = FULL, **fit) -> tuple[Committee, float, DataFrame]:
     """(committee, F1-best cut-off of the tuning rows, scored test rows) by time."""
-    rows = metrics.time_split(matrix)
+    rows = stored(metrics.time_split(matrix))
     model = fit_committee(rows.filter("part = 'fit'"), profile.feature_names, **fit)
-    scored = score(model, rows.filter("part <> 'fit'"), "score")
+    scored = stored(score(model, rows.filter("part <> 'fit'"), "score"))
     cutoff = metrics.best_f1_cutoff(scored.filter("part = 'tune'")).first()["cutoff"]
     return model, cutoff, scored.filter("part = 'test'")
 
@@ -86,21 +87,22 @@ def retrain(history: DataFrame, logged: DataFrame, served: Committee, served_cut
     a fit on old and new rows, compared on decisions neither model learned from at the same number
     of alerts. Rows carry the features, label, transaction_id, event_us (the order they were decided
     in) and decided_at (epoch seconds)."""
-    parts = metrics.time_split(logged)
+    # Each is read several times below, so each is written once.
+    parts = stored(metrics.time_split(logged))
     totals = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"),
                        F.sum((F.col("part") != "fit").cast("bigint")).alias("recent")).first()
     status = {"logged": totals["n"], "known_fraud": int(totals["p"] or 0)}
     if (totals["recent"] or 0) < min_rows:
         return status | {"outcome": "too_few_rows", "recent": totals["recent"] or 0}
     recent = parts.filter("part <> 'fit'")
-    past = metrics.time_split(history)
+    past = stored(metrics.time_split(history))
     served_rows = past.filter("part <> 'test'")
     moved = metrics.psi(served_rows, recent, features).filter("moved").select("feature").collect()
     rates = metrics.alert_rates(score(served, past.filter("part = 'tune'"), "score"),
                                 score(served, recent, "score"), served_cut).first()
     status |= {"recent": totals["recent"], "moved": [r["feature"] for r in moved],
                "alert_rate": {"then": rates["rate_then"], "now": rates["rate_now"]}}
-    old_enough = metrics.time_split(metrics.settled(logged, "decided_at", delay_s))
+    old_enough = metrics.time_split(metrics.settled(parts.drop("part", "position"), "decided_at", delay_s))
     counts = old_enough.agg(F.count(F.lit(1)).alias("n"), F.sum(
         F.when(F.col("part") == "test", F.col("label")).otherwise(0)).alias("known")).first()
     known = int(counts["known"] or 0)
@@ -110,7 +112,8 @@ def retrain(history: DataFrame, logged: DataFrame, served: Committee, served_cut
     columns = [*features, "label"]
     new = fit_committee(past.filter("part = 'fit'").select(columns).unionByName(
         old_enough.filter("part = 'fit'").select(columns)), features, **fit)
-    both = score(new, score(served, old_enough, "old"), "new")
+    both = stored(score(new, score(served, old_enough, "old"), "new").select(
+        "transaction_id", "part", "label", "old", "new"))
     new_cut = metrics.same_workload_cut(both.filter("part = 'tune'"), "old", "new", served_cut).first()["cutoff"]
     test = both.filter("part = 'test'")
     read = lambda c, cut: metrics.reading(test, F.col(c) >= cut).first().asDict()

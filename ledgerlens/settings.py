@@ -75,6 +75,7 @@ SECOND_LOOK_VERSION = "second-look"
 UNSCORED_SUFFIX = ":unscored"
 SECOND_LOOK_DEADLINE = 5.0
 CONFIRMATION_DELAY = 86_400
+FORGET_SENDER_DAYS = 90
 
 # Cases.
 DISPOSITIONS = ("NEW", "CONFIRMED_FRAUD", "FALSE_POSITIVE")

@@ -76,15 +76,28 @@ def load(spark: SparkSession, root: str, until_us: int) -> Prior:
     return Prior(*[spark.read.parquet(_path(root, until_us, t)) for t in TABLES])
 
 
-def roll(spark: SparkSession, root: str, until_us: int) -> None:
+def forget(known: Prior, until_us: int, silent_days: int) -> Prior:
+    """Leave out senders silent that long, with their regions and pairs, and payers older than the
+    month in which a payer counts as known."""
+    month = F.col("last") >= until_us - S.MONTH * S.SECOND_US
+    active = known.senders.filter(F.col("last_sent") >= until_us - silent_days * S.DAY * S.SECOND_US)
+    senders = active.select(F.col("account").alias("sender_key"))
+    return Prior(active, known.regions.join(senders, "sender_key", "left_semi"),
+                 known.pairs.join(senders, "sender_key", "left_semi"), known.payers.filter(month))
+
+
+def roll(spark: SparkSession, root: str, until_us: int, silent_days: int | None = None) -> None:
     """Write the snapshot as of a moment: the one before it plus the transfers since. Run daily, once
     transfers up to then have settled; one that arrives later is read only by batches that go back
-    beyond this snapshot."""
+    beyond this snapshot. With `silent_days` a sender that has not paid for so long is forgotten, as
+    the live job does after 90 days; a replay forgets nobody."""
     history = read_table(spark, root, "transfers").filter(F.col("event_us") < until_us)
     base = newest(spark, root, until_us - 1)
     summary = summarise(history if base is None else history.filter(F.col("event_us") >= base))
     if base is not None:
         summary = merge(load(spark, root, base), summary)
+    if silent_days is not None:
+        summary = forget(summary, until_us, silent_days)
     for name in TABLES:
         getattr(summary, name).write.mode("overwrite").parquet(_path(root, until_us, name))
 
