@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks
+from . import leaks, packing, tokens
 
 QUERIES, ORACLE = {}, {}
 
@@ -18,6 +18,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary's file; the package with the files is installed on every node."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,3 +33,15 @@ def op7(spark, sf_dir):
     """Words of documents inside ten-word windows of benchmark items."""
     found = leaks.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
+
+
+@query("op4_best_fit_packing")
+def op4(spark, sf_dir):
+    """Documents as token ids in sequences of at most 4096."""
+    return packing.packed(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    """Bytes and tokens of every document."""
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary()).drop("text_hash")
