@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks, packing, tokens
+from . import language, leaks, notices, packing, tokens
 
 QUERIES, ORACLE = {}, {}
 
@@ -45,3 +45,15 @@ def op4(spark, sf_dir):
 def op8(spark, sf_dir):
     """Bytes and tokens of every document."""
     return tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary()).drop("text_hash")
+
+
+@query("op5_license_notices")
+def op5(spark, sf_dir):
+    """License phrases and fuzzy short notices in every document."""
+    return notices.scanned(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    """The language of every document, learned from four fifths of those that are labelled."""
+    return language.languages(_table(spark, sf_dir, "documents")).drop("text_hash")
