@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leaks, notices, packing, tokens
+from . import language, leaks, neighbours, notices, packing, tokens, wrappers
 
 QUERIES, ORACLE = {}, {}
 
@@ -57,3 +57,16 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     """The language of every document, learned from four fifths of those that are labelled."""
     return language.languages(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op3_block_neighbours")
+def op3(spark, sf_dir):
+    """The five nearest rows of every vector whose id is divisible by 50."""
+    vectors = neighbours.usable(_table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
+@query("op10_main_text")
+def op10(spark, sf_dir):
+    """The article of every page."""
+    return wrappers.main_texts(_table(spark, sf_dir, "pages"))
