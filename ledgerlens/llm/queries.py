@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leaks, neighbours, notices, packing, tokens, wrappers
+from . import language, leaks, lines, neighbours, notices, packing, tokens, wrappers
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,3 +70,10 @@ def op3(spark, sf_dir):
 def op10(spark, sf_dir):
     """The article of every page."""
     return wrappers.main_texts(_table(spark, sf_dir, "pages"))
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    """Every document without the later copies of repeated runs of lines."""
+    found = lines.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_deleted", "left_text")
