@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leaks, lines, neighbours, notices, packing, tokens, wrappers
+from . import language, leaks, lines, neighbours, notices, packing, suffixes, tokens, wrappers
 
 QUERIES, ORACLE = {}, {}
 
@@ -77,3 +77,10 @@ def op2(spark, sf_dir):
     """Every document without the later copies of repeated runs of lines."""
     found = lines.deduplicated(_table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_lines", "n_deleted", "left_text")
+
+
+@query("op1_suffix_repeats")
+def op1(spark, sf_dir):
+    """Passages of 50 words or more that stand in several places."""
+    found = suffixes.repeated(_table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "start as first_word", "stop - start as n_words", "later")

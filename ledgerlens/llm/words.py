@@ -126,15 +126,18 @@ class Words:
         return at[own], values[own]
 
 
+def runs(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [low, high) of neighbouring values; equal runs are equal wherever they stand."""
+    up, down = _WORD_POWERS.upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    return mixed((sums[high] - sums[low]) * down[low] + (high - low).astype(np.uint64))
+
+
 def grams(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k neighbouring values."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    up, down = _WORD_POWERS.upto(len(hashes))
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up, out=sums[1:])
-    return np.arange(n), mixed((sums[k:] - sums[:-k]) * down[:n] + np.uint64(k))
+    at = np.arange(max(0, len(hashes) - k + 1))
+    return at, runs(hashes, at, at + k)
 
 
 def _sliding(values: np.ndarray, w: int, pick) -> np.ndarray:
