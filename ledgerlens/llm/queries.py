@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leaks, lines, neighbours, notices, packing, suffixes, tokens, wrappers
+from . import language, leaks, lines, nearcopies, neighbours, notices, packing, suffixes, tokens, \
+    wrappers
 
 QUERIES, ORACLE = {}, {}
 
@@ -84,3 +85,9 @@ def op1(spark, sf_dir):
     """Passages of 50 words or more that stand in several places."""
     found = suffixes.repeated(_table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "start as first_word", "stop - start as n_words", "later")
+
+
+@query("op6_order_minhash")
+def op6(spark, sf_dir):
+    """The class of near copies that every document is in."""
+    return nearcopies.classes(_table(spark, sf_dir, "documents")).drop("text_hash", "keeps")
