@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contract import EVENT, LABELLED
 
+_OWN_FOLDER = "LEDGERLENS_LOCAL_FOLDER"
+
 
 def read_labelled(spark: SparkSession, path: str, fmt: str = "csv", limit: int | None = None) -> DataFrame:
     """Labelled transfer rows. The schema is fixed: cards are digit strings, never numbers."""
@@ -62,12 +65,22 @@ def materialised(build, source: DataFrame, columns: list[str], folder: str, refu
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all nodes share, as the session's spark.checkpoint.dir names it. Only a session on one machine may leave it
+    unset: then a folder is made there. On a cluster that is refused, as each node would write to a disk of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        if _OWN_FOLDER not in os.environ:
+            os.environ[_OWN_FOLDER] = tempfile.mkdtemp(prefix="spark-")
+        named = os.environ[_OWN_FOLDER]
+    return named.rstrip("/")
+
+
 def stored(rows: DataFrame) -> DataFrame:
-    """`rows` written once, as a table in the shared folder the cluster names, and read from there: for
-    a result that several plans go on from. Only a session without such a folder, as in tests, gets a
-    folder of its own."""
-    spark = rows.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{shared.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    """`rows` written once, as a table in the shared folder, and read from there: for a result that several plans go on from."""
+    path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
