@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 import uuid
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contract import EVENT, LABELLED
 
-_OWN_FOLDER = "LEDGERLENS_LOCAL_FOLDER"
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def read_labelled(spark: SparkSession, path: str, fmt: str = "csv", limit: int | None = None) -> DataFrame:
@@ -73,9 +72,8 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        if _OWN_FOLDER not in os.environ:
-            os.environ[_OWN_FOLDER] = tempfile.mkdtemp(prefix="spark-")
-        named = os.environ[_OWN_FOLDER]
+        named = _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _OWN_FOLDERS[spark.sparkContext.applicationId] = named
     return named.rstrip("/")
 
 
