@@ -25,7 +25,8 @@ from .rows import KEY, decided, named
 
 LEAST_WORDS = 8
 
-_DOC = Window.partitionBy(*KEY).orderBy("at")
+def _doc():
+    return Window.partitionBy(*KEY).orderBy("at")
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def _named(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
 
 def _ahead(column: str, n: int) -> Column:
     """The value n lines further on, if all lines between take part too."""
-    return F.when(F.lead("at", n).over(_DOC) == F.col("at") + n, F.lead(column, n).over(_DOC)) if n else F.col(column)
+    return F.when(F.lead("at", n).over(_doc()) == F.col("at") + n, F.lead(column, n).over(_doc())) if n else F.col(column)
 
 
 def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -69,9 +70,9 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     # The shortest runs of enough words that begin and that end at each line.
     begin = end = F.lit(None).cast("int")
     for n in range(least_words, 0, -1):
-        ahead, behind = (F.sum("words").over(_DOC.rowsBetween(*r)) >= least_words for r in ((0, n - 1), (1 - n, 0)))
+        ahead, behind = (F.sum("words").over(_doc().rowsBetween(*r)) >= least_words for r in ((0, n - 1), (1 - n, 0)))
         begin = F.when(ahead & (_ahead("at", n - 1) == F.col("at") + (n - 1)), n).otherwise(begin)
-        end = F.when(behind & (F.lag("at", n - 1).over(_DOC) == F.col("at") - (n - 1)), n).otherwise(end)
+        end = F.when(behind & (F.lag("at", n - 1).over(_doc()) == F.col("at") - (n - 1)), n).otherwise(end)
     rows = rows.withColumns({"begin": begin, "end": end})
     runs = []
     for n in range(1, least_words + 1):
