@@ -25,6 +25,7 @@ from .rows import KEY, decided, named
 
 LEAST_WORDS = 8
 
+
 def _doc():
     return Window.partitionBy(*KEY).orderBy("at")
 

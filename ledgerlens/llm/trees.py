@@ -17,6 +17,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
 #: Where the search for an element to end stops.
 FENCES = frozenset("article aside body div footer form header html main nav section table".split())
 
+#: Blocks nested deeper than that are read into the block at that depth, each still a line of its own.
+DEPTH = 200
+
 #: Child pairs that an alignment may weigh; longer lists are aligned in their order.
 CELLS = 250_000
 
@@ -54,7 +57,7 @@ class _Reader(HTMLParser):
         node = Node(tag, mark)
         self.open[-1].kids.append(node)
         self.open[-1].blocks.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def _end(self, tags: set[str]) -> None:

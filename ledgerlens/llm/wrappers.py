@@ -33,7 +33,7 @@ from .words import slices
 SAME_SHARE, LEAST_PAGES = 0.6, 5
 #: The content slot holds this share of a host's varying text.
 SLOT_SHARE = 0.6
-#: A page with more of its text unchanged is a copy of the skeleton's page and does not vote.
+#: A page with more of its possible content unchanged is a copy of the skeleton's page and does not vote.
 COPY_SHARE = 0.5
 
 ASIDE_TAGS = frozenset("aside dialog footer form head menu nav".split())
@@ -153,10 +153,9 @@ def _votes(kept, root: Node) -> list[tuple[int, int, int]]:
     mine = {n.number: n for n in nodes(root)}
     texts = _texts(kept)
     same = {b for a, b in pairs if texts[a] and texts[a] == _hash(mine[b].own_text())}
-    sizes = {n: len(x.own_text()) for n, x in mine.items()}
-    if sum(sizes[b] for b in same) > COPY_SHARE * max(1, sum(sizes.values())):
+    whole, held = varying(root, set()), varying(root, same)
+    if held.get(0, 0) < (1 - COPY_SHARE) * whole.get(0, 0):
         return []
-    held = varying(root, same)
     return [(a, int(b in same), held.get(b, 0)) for a, b in pairs]
 
 
