@@ -33,7 +33,7 @@ def _doc():
 def sequences(docs: DataFrame) -> DataFrame:
     """Every line that is not blank: key, number of the line, at (its place among them), words and a 128-bit hash."""
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
-        i.alias("number"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
+        i.alias("number"), F.btrim(x, F.lit(" \t\n\x0b\f\r")).alias("line")))
     lines = named(docs).select(*KEY, F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("at", "line"))
     return lines.select(*KEY, "at", "line.number", F.size(F.split("line.line", r"\s+")).alias("words"),
                         F.xxhash64("line.line").alias("h1"), F.xxhash64("line.line", F.lit(1)).alias("h2"))
@@ -59,7 +59,7 @@ def _ahead(column: str, n: int) -> Column:
 
 def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """key and number of every line that belongs to a later copy of a repeated run."""
-    lines = sequences(docs)
+    lines = stored(sequences(docs))
     often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
     # A repeated row brings each of its lines twice: once is enough.
     active = stored(lines.join(often, ["h1", "h2"]).dropDuplicates([*KEY, "at"]))
