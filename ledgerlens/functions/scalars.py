@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Texts that mean False when a flag arrives as text.
+# Spellings of no.
 FALSEY = ("", "0", "false", "f", "no", "n", "none", "null", "nan")
 
 
@@ -27,7 +27,7 @@ def whole_or_zero(value: Column) -> Column:
 
 
 def stamp_or_epoch(seconds: Column) -> Column:
-    """Unix seconds as a timestamp; a missing one is the epoch, never a plausible now."""
+    """Epoch seconds to a timestamp. Nulls and other texts go to 1970, where nobody takes them for a real time."""
     number = seconds.try_cast("double")
     return F.timestamp_micros(F.coalesce(F.round(number * 1e6).cast("bigint"), F.lit(0)))
 
@@ -38,7 +38,7 @@ def tiyin(amount: Column) -> Column:
 
 
 def mask_card(card: Column) -> Column:
-    """`8600 03** **** 2655`: enough to tell cards apart, not to use one; short texts stay."""
+    """Six leading and four last digits of a card number, the middle starred out. Below twelve characters there is nothing to hide."""
     return (F.when(F.length(card) >= 12,
                    F.concat(F.substring(card, 1, 4), F.lit(" "), F.substring(card, 5, 2),
                             F.lit("** **** "), F.right(card, F.lit(4))))

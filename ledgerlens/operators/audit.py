@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import spread
 from .quantiles import running_within
-from .timeline import Sum, small
+from .timeline import Sum
 
 # The hashed fields of an event, in order.
 INGRESS_FIELDS = ("transaction_id", "event_time", "sender_pinfl", "sender_card", "receiver_card",
@@ -60,6 +60,15 @@ def _link(batches):
         yield pdf.drop(columns="start_hash").assign(prev_hash=prev_col, record_hash=hash_col)
 
 
+#: Records that one walker takes on, in a load that chooses its own number of chains.
+CHAIN_RECORDS = 1_000_000
+
+
+def chains_for(records: int, least: int = 8) -> int:
+    """Chains for a load of so many records: they grow with it, so that a walker's share does not."""
+    return max(least, -(-records // CHAIN_RECORDS))
+
+
 def append_chain(core: DataFrame, order: list[str], chains: int = 1,
                  tails: DataFrame | None = None) -> DataFrame:
     """`core` with chain_id, seq, prev_hash and record_hash, going on from each chain's tail.
@@ -74,11 +83,12 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
     else:
         ends = tails.groupBy("chain_id").agg(F.max("seq").alias("_seq"),
                                              F.max_by("record_hash", "seq").alias("_hash"))
-        rows = rows.join(small(ends), "chain_id", "left").withColumns({
+        rows = rows.join(ends, "chain_id", "left").withColumns({
             "_from": F.coalesce(F.col("_seq") + 1, F.lit(0).cast("bigint")),
             "start_hash": F.coalesce("_hash", F.lit(GENESIS))}).drop("_seq", "_hash")
     rows = rows.withColumn("seq", F.col("_from") + F.col("_place")).drop("_from", "_place")
-    ordered = rows.repartition(chains, "chain_id").sortWithinPartitions("chain_id", "seq")
+    # By range: hashing would put several of a few chains into one task and leave others idle.
+    ordered = rows.repartitionByRange(chains, "chain_id").sortWithinPartitions("chain_id", "seq")
     names = [c for c in ordered.columns if c != "start_hash"]
     schema = ordered.select(*names).withColumns({"prev_hash": F.lit(""), "record_hash": F.lit("")}).schema
     return ordered.mapInPandas(_link, schema)
@@ -95,7 +105,7 @@ def verify_chain(log: DataFrame, window: int | None = None) -> DataFrame:
         log = log.withColumn("chain_id", F.lit(0))
     if window is not None:
         newest = log.groupBy("chain_id").agg(F.max("seq").alias("_newest"))
-        log = (log.join(small(newest), "chain_id").filter(F.col("seq") > F.col("_newest") - window).drop("_newest"))
+        log = (log.join(newest, "chain_id").filter(F.col("seq") > F.col("_newest") - window).drop("_newest"))
     at = ["chain_id", "seq"]
     finding = lambda c, text: F.when(c, text)
     payload = F.try_parse_json("payload")
@@ -113,7 +123,7 @@ def verify_chain(log: DataFrame, window: int | None = None) -> DataFrame:
     before = places.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("expected"))
     heads = places.groupBy("chain_id").agg(F.min("seq").alias("head"))
     # One row per chain; joined by shuffle, a chain would meet in one task.
-    linked = places.join(before, at, "left").join(small(heads), "chain_id")
+    linked = places.join(before, at, "left").join(heads, "chain_id")
     first = F.col("seq") == F.col("head")
     off = lambda hash_: (F.col("prev_hash") != hash_) | (F.col("prev_high") != hash_)
     head_off = F.lit(False) if window is not None else first & off(F.lit(GENESIS))

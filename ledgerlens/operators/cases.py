@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings as S
 from ..functions import scalars
-from .decision import final_decisions
+from .decision import final_decisions, latest
 
 # A case's columns, in order.
 CASE_COLUMNS = ["case_id", "transaction_id", "event_time", "opened_at", "sender_card", "receiver_card",
                 "amount_uzs", "final_score", "decision", "predicted_type", "rule_hits", "disposition",
                 "resolved_by", "resolved_at", "version", "explanation", "explanation_status",
                 "model_version", "ml_score"]
+#: What the intervals of confirmed accounts read of a case version.
+CASE_VERSIONS = "case_id string, receiver_card string, version bigint, resolved_at timestamp, disposition string"
 TERMINAL = [d for d in S.DISPOSITIONS if d != "NEW"]
 
 
@@ -25,7 +27,8 @@ def _epoch() -> Column:
 
 
 def open_cases(records: DataFrame) -> DataFrame:
-    """One case per hold, the same on redelivery; an explained one outranks a bare one."""
+    """A first case version for each REVIEW record. Its id is the transfer's, so a repeated record repeats the case; with reasons it
+    has version 1, without them 0."""
     empty = F.array().cast("array<string>")
     reasons = F.coalesce("explanation", empty) if "explanation" in records.columns else empty
     status = _text("explanation_status") if "explanation_status" in records.columns else F.lit("")
@@ -44,9 +47,8 @@ def open_cases(records: DataFrame) -> DataFrame:
 
 
 def latest_cases(versions: DataFrame) -> DataFrame:
-    """The highest version per case: a maximum, combined before the shuffle."""
-    return (versions.groupBy("case_id").agg(F.max_by(F.struct(*CASE_COLUMNS), F.struct(
-        "version", "resolved_at", "explanation_status")).alias("c")).select("c.*"))
+    """The highest version per case."""
+    return latest(versions, ["case_id"], [F.desc("version"), F.desc("resolved_at"), F.desc("explanation_status")]).select(*CASE_COLUMNS)
 
 
 def _resolved_rows(cases: DataFrame, disposition: Column, by: Column, at: Column) -> DataFrame:
@@ -76,8 +78,8 @@ def resolve(versions: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def report(versions: DataFrame, records: DataFrame, reports: DataFrame) -> DataFrame:
-    """Client reports (transaction_id, by, at) as case versions: an existing case is confirmed; a
-    transfer that was let go gets a case confirmed at once, which keeps the system's own decision."""
+    """Case versions that follow from what clients report (transaction_id, by, at): a verdict of fraud on the transfer's case, or,
+    where it was never held, on a new case that shows the decision as it was."""
     current = latest_cases(versions)
     named = reports.filter(_text("by") != "")
     fraud = F.lit("CONFIRMED_FRAUD")

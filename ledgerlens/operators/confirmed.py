@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import settings as S
-from .timeline import Next, plan_slices, running
+from .timeline import Next, running, slices_for
 
 US = S.SECOND_US
 
@@ -25,12 +25,11 @@ def known_by(confirmed: DataFrame, at_us) -> DataFrame:
 
 
 def contact_pieces(transfers: DataFrame, confirmed: DataFrame, heavy: bool = True) -> DataFrame:
-    """Where in its timeline each account has a confirmed contact of the last week.
+    """Stretches of an account's timeline during which one of its recent counterparties counts as confirmed.
 
-    Each end of a transfer files the other. Only contacts that are ever confirmed matter, so the
-    others are left out before the pairs are ordered. A contact lasts a week or until the pair
-    meets again; what overlaps the contact's own confirmation is a piece. `heavy` False: no account
-    has more rows than a task should hold, so no pair does.
+    A transfer makes either party the other's contact for seven days, or up to their next transfer. That time, cut to the
+    contact's confirmed intervals, is one stretch. Pairs are ordered only for contacts that are confirmed at some time. With
+    `heavy` False the caller vouches that no account, and so no pair, outgrows a task.
     """
     week = S.WEEK * US
     edges = (transfers.filter("payee_key <> '' and sender_key <> ''").select(
@@ -42,7 +41,7 @@ def contact_pieces(transfers: DataFrame, confirmed: DataFrame, heavy: bool = Tru
     pair, order = ["account", "other"], ["event_us", "transaction_id"]
     edges = running(edges, pair, order,
                     {"again": Next(F.struct("event_us", "transaction_id"))},
-                    plan_slices(edges, pair, order) if heavy else None)
+                    slices_for(edges, pair) if heavy else 0)
     meets = f"again.event_us <= event_us + {week}"
     lasts = edges.selectExpr(
         "account", "other", "event_us a_at", "transaction_id a_id",

@@ -16,8 +16,7 @@ from .. import settings as S
 from ..functions import geo, scalars
 from ..profile import FULL, Profile
 from .confirmed import contact_pieces
-from .timeline import (Max, Min, Moments, Next, Slices, Sum, plan_slices, rows_per_slice,
-                       running)
+from .timeline import Max, Min, Moments, Next, Sum, rows_per_slice, running, slices_for
 
 US = S.SECOND_US
 PLACE = ["at", "rank", "id", "half"]      # an entry's place in its account's timeline
@@ -31,6 +30,21 @@ ORDER = ["event_us", "transaction_id"]
 FEATURES = FULL.feature_names
 HELPERS = ["travel_kmh", "travel_distance_km", "has_history", "amount_gt_factor_mean"]
 
+# What each part of the plan is for; a part that nobody asks for is left out.
+PAYERS = {"rcv_distinct_senders_1h", "payee_payers_24h", "payee_payers_7d", "payee_new_payers_24h"}
+PAYEE_FLAGS = {"payee_flagged", "payee_flagged_contacts"}
+PAYEE_SIDE = PAYERS | PAYEE_FLAGS | {"rcv_inflow_1h", "payee_inflow_24h"}
+PAIRS = {"is_new_payee", "distinct_payees_10m", "sender_payees_24h", "sender_payees_7d", "sender_new_payees_24h",
+         "sender_new_payee_sum_24h"}
+PAYEE_ENDS = {END_1H: {"rcv_distinct_senders_1h", "rcv_inflow_1h"},
+              END_24H: {"payee_inflow_24h", "payee_payers_24h", "payee_new_payers_24h"}, END_7D: {"payee_payers_7d"}}
+SENDER_ENDS = {END_10M: {"vel_10m", "distinct_payees_10m"}, END_1H: {"vel_1h", "sub_threshold_1h"},
+               END_24H: {"daily_sum_ratio", "sender_payees_24h", "sender_new_payees_24h", "sender_new_payee_sum_24h"},
+               END_7D: {"sender_payees_7d"}}
+#: What a plan of chosen features reads of a transfer.
+READ = ["transaction_id", "event_us", "sender_key", "payee_key", "payer_id", "amount", "amount_tiyin", "secs_login", "sender_region",
+        "active_call"]
+
 
 @dataclass(frozen=True)
 class Census:
@@ -104,7 +118,7 @@ def _steps(kind: int) -> Sum:
     return Sum(F.expr(f"if(kind = {kind}, step, 0)"))
 
 
-def pair_times(rows: DataFrame, pair: list[str], prefix: str, slices: Slices | None) -> DataFrame:
+def pair_times(rows: DataFrame, pair: list[str], prefix: str, slices: int) -> DataFrame:
     """How long ago the same pair last met and how long until it meets next."""
     rows = running(rows, pair, ORDER, {f"{prefix}_prev": Max(F.col("event_us"), before=True),
                                        f"{prefix}_next": Next(F.col("event_us"))}, slices)
@@ -130,26 +144,37 @@ def contact_marks(rows: DataFrame, confirmed: DataFrame, census: Census) -> Data
         f"inline(filter(array({side('from', 1)}, {side('to', -1)}), e -> e.at <= {census.horizon}))"))
 
 
-def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Census,
-                        prior: Prior | None = None) -> DataFrame:
+def with_pair_times(rows: DataFrame, heavy: bool, prior: Prior | None) -> DataFrame:
+    """When sender and payee met last and meet next, for the sender's side."""
+    pair = ["payee_key", "sender_key"]
+    return _since_ever(pair_times(rows, pair, "pair", slices_for(rows, pair) if heavy else 0), pair, "pair", prior and prior.pairs)
+
+
+def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Census, prior: Prior | None,
+                        wanted: set[str]) -> DataFrame:
     """Fan-in, inflow, new payers, flags and contacts of the paid account, and the pair times of
     sender and payee that the sender's side needs."""
     heavy = census.heavy_payee
     base = rows
-    cut = lambda r, key, order: plan_slices(r, key, order) if heavy else None
+    cut = lambda r, key: slices_for(r, key) if heavy else 0
     if not heavy:
         rows = rows.repartition("payee_key")
-    payer, pair = ["payee_key", "payer_id"], ["payee_key", "sender_key"]
-    rows = pair_times(rows, pair, "pair", cut(base, pair, ORDER))
-    rows = pair_times(rows, payer, "payer", cut(base, payer, ORDER))
-    rows = _since_ever(rows, pair, "pair", prior and prior.pairs)
-    rows = _since_ever(rows, payer, "payer", prior and prior.payers)
+    if wanted & PAIRS:
+        rows = with_pair_times(rows, heavy, prior)
+    payer = ["payee_key", "payer_id"]
+    if wanted & PAYERS:
+        rows = pair_times(rows, payer, "payer", cut(base, payer))
+        rows = _since_ever(rows, payer, "payer", prior and prior.payers)
+    else:
+        rows = rows.withColumns({f"payer_{c}": F.lit(None).cast("bigint") for c in ("prev", "next", "ever")})
     new = F.expr(f"if(payer_ever <= {S.MONTH * US}, 0, 1)").alias("new")
     rows = rows.withColumnsRenamed({"payer_prev": "prev_gap", "payer_next": "next_gap"})
     keep = [F.col("amount_tiyin").alias("money"), "prev_gap", "next_gap", new]
-    line = _entries(rows, "payee_key", IN, [END_1H, END_24H, END_7D], census.horizon, keep)
-    if confirmed is not None:
-        marks = flag_marks(confirmed, census.horizon).unionByName(contact_marks(base, confirmed, census))
+    line = _entries(rows, "payee_key", IN, [e for e, of in PAYEE_ENDS.items() if of & wanted], census.horizon, keep)
+    if confirmed is not None and wanted & PAYEE_FLAGS:
+        marks = flag_marks(confirmed, census.horizon)
+        if "payee_flagged_contacts" in wanted:
+            marks = marks.unionByName(contact_marks(base, confirmed, census))
         line = line.unionByName(marks if heavy else marks.repartition("account"),
                                 allowMissingColumns=True)
     else:
@@ -159,38 +184,40 @@ def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Ce
         "run_payers_1h": _window_distinct(END_1H), "run_payers_24h": _window_distinct(END_24H),
         "run_payers_7d": _window_distinct(END_7D), "run_new": _window_sum("new", END_24H),
         "run_flagged": _steps(FLAG), "run_contacts": _steps(CONTACT)},
-        cut(line, ["account"], PLACE))
+        cut(line, ["account"]))
     # A transfer without a payee key has no payee's side to read.
     seen = lambda step: f"if(account <> '', run_{step}, 0)"
+    of = {"rcv_distinct_senders_1h": seen("payers_1h"), "rcv_inflow_1h": f"log1p({seen('in_1h')} / 100D)",
+          "payee_inflow_24h": f"log1p({seen('in_24h')} / 100D)", "payee_payers_24h": seen("payers_24h"),
+          "payee_payers_7d": seen("payers_7d"), "payee_new_payers_24h": seen("new"),
+          "payee_flagged": f"cast({seen('flagged')} > 0 as int)", "payee_flagged_contacts": seen("contacts")}
     return line.filter("transfer is not null").selectExpr(
-        "transfer.*",
-        f"{seen('payers_1h')} rcv_distinct_senders_1h",
-        f"log1p({seen('in_1h')} / 100D) rcv_inflow_1h",
-        f"log1p({seen('in_24h')} / 100D) payee_inflow_24h",
-        f"{seen('payers_24h')} payee_payers_24h",
-        f"{seen('payers_7d')} payee_payers_7d",
-        f"{seen('new')} payee_new_payers_24h",
-        f"cast({seen('flagged')} > 0 as int) payee_flagged",
-        f"{seen('contacts')} payee_flagged_contacts").drop("prev_gap", "next_gap", "payer_ever")
+        "transfer.*", *[f"{e} {n}" for n, e in of.items() if n in wanted]).drop("prev_gap", "next_gap", "payer_ever")
 
 
 def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFrame | None,
-                         census: Census, prior: Prior | None = None) -> DataFrame:
+                         census: Census, prior: Prior | None, wanted: set[str]) -> DataFrame:
     """The sender's own habits, windows, flags and journey, and when it was last paid.
 
     `rows` carry the pair times; `credits` are all transfers again, by payee.
     """
     heavy = census.heavy_account
-    cut = lambda r, key, order: plan_slices(r, key, order) if heavy else None
+    cut = lambda r, key: slices_for(r, key) if heavy else 0
     if not heavy:
         rows = rows.repartition("sender_key")
+    if not wanted & PAIRS:
+        rows = rows.withColumns({f"pair_{c}": F.lit(None).cast("bigint") for c in ("prev", "next", "ever")})
+    elif "pair_prev" not in rows.columns:
+        rows = with_pair_times(rows, heavy, prior)
     rows = rows.withColumn("region_here", F.expr("coalesce(sender_region, '')"))
     home_key = ["sender_key", "region_here"]
-    rows = running(rows, home_key, ORDER,
-                   {"region_count": Sum(F.lit(1)),
-                    "region_first": Min(F.struct("event_us", "transaction_id"))},
-                   cut(credits.selectExpr("sender_key", "coalesce(sender_region, '') region_here", *ORDER),
-                       home_key, ORDER))
+    if "geo_is_anomaly" in wanted:
+        rows = running(rows, home_key, ORDER,
+                       {"region_count": Sum(F.lit(1)),
+                        "region_first": Min(F.struct("event_us", "transaction_id"))},
+                       cut(credits.selectExpr("sender_key", "coalesce(sender_region, '') region_here"), home_key))
+    else:
+        rows = rows.withColumns({"region_count": F.lit(0).cast("bigint"), "region_first": F.struct("event_us", "transaction_id")})
     if prior is not None:
         rows = (rows.join(prior.regions.withColumnsRenamed({"region_count": "_n", "region_first": "_first"}),
                           home_key, "left")
@@ -200,15 +227,18 @@ def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFra
     low, high = S.STRUCTURING_BAND_LOW * S.STRUCTURING_THRESHOLD, S.STRUCTURING_THRESHOLD
     keep = [F.col("amount_tiyin").alias("money"), "prev_gap", "next_gap",
             F.expr("if(pair_ever is null, 1, 0)").alias("new"), F.expr(f"if(amount >= {low}D and amount < {high}D, 1, 0)").alias("band")]
-    line = _entries(rows, "sender_key", OUT, [END_10M, END_1H, END_24H, END_7D], census.horizon, keep)
-    paid = credits.selectExpr(
+    line = _entries(rows, "sender_key", OUT, [e for e, of in SENDER_ENDS.items() if of & wanted], census.horizon, keep)
+    paid = credits.filter(F.lit("secs_since_sender_inbound" in wanted)).selectExpr(
         "payee_key account", f"{PAID} kind", "event_us at", f"{TRANSFER} rank", "transaction_id id",
         f"{IN} half", "event_us paid_us")
-    if confirmed is not None:
+    if confirmed is not None and "sender_flagged" in wanted:
         paid = paid.unionByName(flag_marks(confirmed, census.horizon), allowMissingColumns=True)
     else:
         paid = paid.withColumn("step", F.lit(0))
-    line = line.unionByName(paid if heavy else paid.repartition("account"), allowMissingColumns=True)
+    if wanted & {"secs_since_sender_inbound", "sender_flagged"}:
+        line = line.unionByName(paid if heavy else paid.repartition("account"), allowMissingColumns=True)
+    else:
+        line = line.withColumns({"paid_us": F.lit(None).cast("bigint"), "step": F.lit(0)})
     line = running(line, ["account"], PLACE, {
         "run_sent_10m": _window_sum("1", END_10M), "run_sent_1h": _window_sum("1", END_1H),
         "run_band_1h": _window_sum("band", END_1H), "run_sum_24h": _window_sum("money", END_24H),
@@ -224,11 +254,11 @@ def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFra
         "home": Min(F.expr("if(transfer is null, null, struct(-transfer.region_count count, "
                            "transfer.region_first first, transfer.region_here region))"), before=True),
         "last_paid": Max(F.col("paid_us"), before=True),
-    }, cut(line, ["account"], PLACE))
+    }, cut(line, ["account"]))
     line = line.filter("transfer is not null").drop("money", "prev_gap", "next_gap", "band", "new")
     if prior is not None:
         line = _after_prior(line, prior)
-    mine = _sender_columns()
+    mine = {n: e for n, e in _sender_columns().items() if n in wanted}
     keep = [c for c in rows.columns if c not in
             ("region_here", "region_count", "region_first", "prev_gap", "next_gap", "pair_ever")]
     return (line.select("*", "transfer.*")
@@ -287,20 +317,28 @@ def _sender_columns() -> dict[str, str]:
 
 def transfer_features(transfers: DataFrame, confirmed: DataFrame | None = None,
                       profile: Profile = FULL, payee_side: bool = True,
-                      prior: Prior | None = None) -> DataFrame:
+                      prior: Prior | None = None, wanted: list[str] | None = None) -> DataFrame:
     """Every transfer with the features its profile can supply and the rule helpers.
 
     `confirmed` holds the confirmed accounts' half-open intervals (account, from_us, to_us).
     `prior` is what came before an input that begins a week or more before the transfers asked for.
     `payee_side` False reads the payee's side as nothing seen, as when its store is down.
+    `wanted` names the features a caller reads: only those come back, with transaction_id and event_us, and the parts of
+    the plan that only others need are left out.
     """
     if not profile.has("confirmed_cases"):
         confirmed = None
+    chosen = set(wanted if wanted is not None else FEATURES + HELPERS)
     census = Census.of(transfers)
-    rows = with_payee_features(transfers, confirmed, census, prior)
-    rows = with_sender_features(rows, transfers, confirmed, census, prior)
+    rows = transfers if wanted is None else transfers.select(*READ)
+    if chosen & PAYEE_SIDE and payee_side:
+        rows = with_payee_features(rows, confirmed, census, prior, chosen)
+    if wanted is None or chosen - PAYEE_SIDE - {"active_call"}:
+        rows = with_sender_features(rows, transfers if wanted is None else transfers.select(*READ), confirmed, census, prior, chosen)
     if not payee_side:
-        rows = rows.withColumns(_nothing_seen())
+        rows = rows.withColumns({n: c for n, c in _nothing_seen().items() if n in chosen})
+    if wanted is not None:
+        return rows.select("transaction_id", "event_us", *wanted)
     unavailable = [f for f in FEATURES if f not in profile.feature_names]
     return rows.drop(*unavailable)
 

@@ -8,7 +8,7 @@ from .. import settings as S
 from ..functions.scalars import spread
 from .metrics import time_split
 from .quantiles import running_within
-from .timeline import Sum, small
+from .timeline import Sum
 
 EPISODE_US = 6 * 3600 * S.SECOND_US
 HISTORY_ROWS = 8
@@ -55,10 +55,10 @@ def episodes(transfers: DataFrame, chosen: DataFrame) -> DataFrame:
                       F.col("sender_key").alias("pick_sender"), F.col("payee_key").alias("pick_payee"),
                       F.col("transaction_id").alias("pick_id"))
     frauds = transfers.filter("label = 1")
-    near = frauds.join(small(p), (F.col("label_type") == F.col("kind"))
+    near = frauds.join(p, (F.col("label_type") == F.col("kind"))
                        & (F.abs(F.col("event_us") - F.col("pick_us")) <= EPISODE_US))
     recurs = near.filter("payee_key = pick_payee").groupBy("pick_id").agg(F.count(F.lit(1)).alias("times"))
-    hub = near.join(small(recurs), "pick_id", "left").withColumn(
+    hub = near.join(recurs, "pick_id", "left").withColumn(
         "hub", F.expr("if(times > 1, pick_payee, pick_sender)"))
     keep = F.when(F.col("kind") == "MULE", (F.col("sender_key") == F.col("hub")) | (F.col("payee_key") == F.col("hub"))) \
         .otherwise(F.col("sender_key") == F.col("pick_sender"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import settings as S
 from .quantiles import exact_quantiles, running_within, with_position
-from .timeline import Sum, small
+from .timeline import Sum
 
 
 def time_split(rows: DataFrame, fit: float = S.TRAIN_SHARE * S.FIT_SHARE, train: float = S.TRAIN_SHARE,
@@ -37,7 +37,7 @@ def split_at(rows: DataFrame, cut_us: int, fit: float = S.FIT_SHARE) -> DataFram
 def class_weight(rows: DataFrame, mode: str = "auto") -> DataFrame:
     """One row: positives, negatives and the weight of a positive."""
     if mode not in ("auto", "on", "off"):
-        raise ValueError(f"class weighting {mode!r}: expected auto, on or off")
+        raise ValueError(f"mode is {mode!r}; it can be auto, on or off")
     pos, neg = F.col("pos"), F.col("neg")
     counts = rows.agg(F.sum((F.col("label") == 1).cast("bigint")).alias("pos"),
                       F.sum((F.col("label") == 0).cast("bigint")).alias("neg"))
@@ -150,18 +150,21 @@ def second_look_band(rows: DataFrame, review: float, size: int = S.BAND_SIZE) ->
             .orderBy(F.desc("score"), F.asc("transaction_id")).limit(size))
 
 
-def training_pieces(rows: DataFrame, piece_rows: int = S.PIECE_ROWS, seed: int = 42) -> DataFrame:
-    """Every fraud in each piece, the other rows dealt out evenly, at most `piece_rows` together."""
+def training_pieces(rows: DataFrame, piece_rows: int = S.PIECE_ROWS, seed: int = 42, wanted: int | None = None) -> DataFrame:
+    """Rows to fit one learner a piece: the ordinary rows dealt out evenly, and in each piece the frauds, `piece_rows` together at
+    most. Frauds take half a piece at most: of more, those with the least hashes are the sample that every learner is fitted on.
+    `wanted` builds only the first so many pieces."""
     counts = rows.agg(F.sum("label").alias("fraud"), F.sum(1 - F.col("label")).alias("legit")).first()
     fraud, legit = int(counts["fraud"] or 0), int(counts["legit"] or 0)
-    if fraud >= piece_rows:
-        raise ValueError(f"{fraud} frauds leave no room in pieces of {piece_rows} rows")
+    fraud = min(fraud, max(1, piece_rows // 2))
     pieces = max(1, -(-legit // (piece_rows - fraud)))
-    dealt = with_position(rows.filter("label = 0"), [F.xxhash64(F.lit(seed), "transaction_id"),
-                                                     F.col("transaction_id")], "_place")
+    mixed = [F.xxhash64(F.lit(seed), "transaction_id"), F.col("transaction_id")]
+    dealt = with_position(rows.filter("label = 0"), mixed, "_place")
     dealt = dealt.withColumn("piece", F.pmod(F.col("_place"), F.lit(pieces)).cast("int")).drop("_place")
-    everywhere = rows.filter("label = 1").withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    return dealt.unionByName(everywhere)
+    built = pieces if wanted is None else min(pieces, wanted)
+    everywhere = (rows.filter("label = 1").orderBy(*mixed).limit(fraud)
+                  .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(built - 1)))))
+    return dealt.filter(F.col("piece") < built).unionByName(everywhere)
 
 
 def max_difference(left: DataFrame, right: DataFrame, key: str = "transaction_id") -> DataFrame:
@@ -186,7 +189,6 @@ def psi(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = 10) ->
     edges = exact_quantiles(seen, ["feature"], "value", names).select(
         "feature", F.array_distinct(F.array(*names)).alias("edges"))
     sides = long_ref.withColumn("cur", F.lit(0)).unionByName(long_cur.withColumn("cur", F.lit(1)))
-    edges = small(edges)      # one row per feature
     placed = sides.join(edges, "feature", "left").withColumn(
         "edges", F.coalesce("edges", F.array().cast("array<double>")))
     gap = F.col("value").isNull() | F.isnan("value")

@@ -1,12 +1,12 @@
 """Exact order statistics without gathering a group: values are counted first, and a running count
 over the distinct values finds the ones at the wanted ranks. Ranked rows and global positions work
-the same way; every long order is cut into slices like an account's timeline."""
+the same way; a long order is dealt into slices like a heavy account's timeline."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .timeline import Sum, plan_slices, running, small
+from .timeline import Sum, running, slices_for
 
 ALL = "_all"
 
@@ -15,7 +15,7 @@ def running_within(rows: DataFrame, by: list[str], order: list[str], measures: d
     """Running measures along the order of each group, or of the whole table."""
     keyed = rows if by else rows.withColumn(ALL, F.lit(0))
     key = by or [ALL]
-    return running(keyed, key, order, measures, plan_slices(keyed, key, order)).drop(ALL)
+    return running(keyed, key, order, measures, slices_for(keyed, key)).drop(ALL)
 
 
 def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -30,11 +30,10 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str
     counts = value_counts(rows, by, value)
     keyed = counts if by else counts.withColumn(ALL, F.lit(0))
     key = by or [ALL]
-    slices = plan_slices(keyed, key, [value])
-    ranked = running(keyed, key, [value], {"upto": Sum(F.col("n"))}, slices)
-    totals = keyed.groupBy(*key).agg(F.sum("n").alias("total"))
-    # A group that had to be cut must not meet again in one task because of its total.
-    ranked = ranked.join(small(totals) if slices else totals, key)
+    ranked = running(keyed, key, [value], {"upto": Sum(F.col("n"))}, slices_for(keyed, key))
+    totals = keyed.groupBy(*by).agg(F.sum("n").alias("total"))
+    # One number for the whole table, or one row for each group.
+    ranked = ranked.join(totals, by) if by else ranked.withColumn("total", totals.select("total").scalar())
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1      # ranks from 0
     at = lambda rank: F.max(F.when((first <= rank) & (rank <= last), F.col(value)))
     out = []

@@ -1,13 +1,13 @@
 """Running measures along a key's timeline, whatever one key's share of the rows.
 
-A window over a key puts the whole key into one task. Where no key is heavy that is the plan
-used here. A heavy key's timeline is cut into slices of its sort order: each slice is a window
-of its own, a slice's totals are pre-aggregated, and what all earlier slices add up to is joined
-back as a carry. Both ways give the same rows.
-
-Sliding windows are running sums too: a row adds its value when it happens and a second entry
-takes it back once it has left the window. Sums of whole numbers keep that exact, and a row costs
-the same in a busy account as in a quiet one.
+A window over a key puts the whole key into one task. Where no key has more rows than a task should hold, that is the plan used
+here. Else the rows are dealt out by ranges of (key, order) and written once: what lies in one range is a slice, so that a heavy
+key is as many slices as it needs and light keys share one. Each slice of a key is a window of its own, its totals are
+pre-aggregated, and what all earlier slices add up to is joined back as a carry. Only keys that go on over a border have one, two
+rows a border at most. Both ways give the same rows.
+
+Sliding windows are running sums too: a row adds its value when it happens and a second entry takes it back once it has left the
+window. Sums of whole numbers keep that exact, and a row costs the same in a busy account as in a quiet one.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.files import stored
+
 SLICE = "_slice"
+#: Rows of one key that a task should hold at most (`ledgerlens.rowsPerSlice`).
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 20_000
-SAMPLES_PER_SLICE = 16
 
 
 # --- Measures -----------------------------------------------------------------------------
@@ -164,92 +165,41 @@ def _frame(w, before: bool):
 
 # --- Slices -------------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class Slices:
-    """Where the heavy keys' timelines are cut: one row per heavy key with its sorted cuts."""
-    table: DataFrame
-    deepest: int
-
-
-def small(rows: DataFrame, limit: int = 100_000) -> DataFrame:
-    """`rows` as a broadcast side when there are no more than `limit` of them, counted first; else as
-    they are, for the optimizer to join by shuffle."""
-    found = rows.limit(limit + 1).collect()
-    if len(found) > limit:
-        return rows
-    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema))
-
-
 def rows_per_slice(spark) -> int:
     return int(spark.conf.get("ledgerlens.rowsPerSlice", str(ROWS_PER_SLICE)))
 
 
-def plan_slices(rows: DataFrame, key: list[str], order: list[str]) -> Slices | None:
-    """The cuts of every key with more rows than a task should hold, or None without one.
-
-    Counts are combined before the shuffle. Only heavy keys' cuts come back: at most MAX_SLICES of
-    them, whatever the data's size, for beyond that the slices grow instead of their number. The
-    cuts come from a hash sample of the order, which moves only the borders, never a result.
-    """
-    spark = rows.sparkSession
-    rows = rows.select(*key, *order)
-    limit = rows_per_slice(spark)
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    heavy_rows = counts.filter(F.col("_n") > limit).agg(F.sum("_n")).first()[0]
-    if not heavy_rows:
-        return None
-    limit = max(limit, math.ceil(heavy_rows / MAX_SLICES))
-    heavy = counts.filter(F.col("_n") > limit).select(*key)
-    every = max(1, limit // SAMPLES_PER_SLICE)
-    nth = max(1, min(SAMPLES_PER_SLICE, limit))
-    table = (rows.join(F.broadcast(heavy), key)
-             .filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
-             .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_cuts"))
-             .select(*key, F.filter("_cuts", lambda _, i: i % nth == nth - 1).alias("_cuts"))
-             .filter(F.size("_cuts") > 0))
-    # Bounded by MAX_SLICES; kept on the driver so that every use sees the same cuts.
-    found = table.collect()
-    if not found:
-        return None
-    return Slices(spark.createDataFrame(found, table.schema), max(len(r["_cuts"]) for r in found))
-
-
-def _sliced(rows: DataFrame, key: list[str], order: list[str], slices: Slices, how: str) -> DataFrame:
-    """`rows` with the number of cuts at or before each one."""
-    here = F.struct(*order)
-    steps = [1 << b for b in reversed(range(slices.deepest.bit_length()))]
-    cuts = F.col("_cuts")
-    # Binary search, one power of two at a time.
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda lo, step: F.when(F.get(cuts, lo + step - 1) <= here, lo + step).otherwise(lo))
-    return (rows.join(F.broadcast(slices.table), key, how)
-            .withColumn(SLICE, F.when(cuts.isNull(), F.lit(0)).otherwise(found))
-            .drop("_cuts"))
-
-
-def running(rows: DataFrame, key: list[str], order: list[str], measures: dict,
-            slices: Slices | None = None) -> DataFrame:
+def slices_for(rows: DataFrame, key: list[str]) -> int:
+    """How many slices the rows need if a key has more rows than a task should hold, else 0. Counts are combined before the
+    shuffle, and one row comes back."""
+    limit = rows_per_slice(rows.sparkSession)
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return math.ceil(counts[1] / limit) if (counts[0] or 0) > limit else 0
+
+
+def running(rows: DataFrame, key: list[str], order: list[str], measures: dict, slices: int = 0) -> DataFrame:
     """`rows` plus the measures, named by the dictionary; helper columns start with the name."""
-    if slices is None:
-        w = Window.partitionBy(*key).orderBy(*order)
-        return rows.select("*", *[c.alias(n) for name, m in measures.items()
-                                  for n, c in m.local(w, name).items()])
-    w = Window.partitionBy(*key, SLICE).orderBy(*order)
-    local = _sliced(rows, key, order, slices, "left").select(
-        "*", *[c.alias(n) for name, m in measures.items() for n, c in m.local(w, name).items()])
+    of = lambda kind, *args: [c.alias(n) for name, m in measures.items() for n, c in getattr(m, kind)(*args, name).items()]
+    if not slices:
+        return rows.select("*", *of("local", Window.partitionBy(*key).orderBy(*order)))
+    parts = max(slices, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = stored(rows.repartitionByRange(parts, *key, *order).withColumn(SLICE, F.spark_partition_id()))
+    local = placed.select("*", *of("local", Window.partitionBy(*key, SLICE).orderBy(*order)))
+    totals = placed.groupBy(*key, SLICE).agg(*of("partials"))
+    # A key with one slice needs no carry. The others have two rows a border at most, and the slices in the middle.
+    spans = totals.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(
+        F.min(SLICE).alias("_low"), F.max(SLICE).alias("_high")).filter("_low < _high").drop("_low", "_high")
+    same = [totals[k].eqNullSafe(spans[f"_k_{k}"]) for k in key]
+    totals = totals.join(F.broadcast(spans), same, "left_semi")
     across = Window.partitionBy(*key).orderBy(SLICE)
-    totals = (_sliced(rows, key, order, slices, "inner").groupBy(*key, SLICE)
-              .agg(*[c.alias(n) for name, m in measures.items() for n, c in m.partials(name).items()]))
-    folded = totals.select(*key, SLICE, *[c.alias(n) for name, m in measures.items()
-                                          for n, c in m.fold(across, name).items()])
+    folded = totals.select(*key, SLICE, *of("fold", across))
     for name, m in measures.items():
         if isinstance(m, Moments):
             folded = folded.select("*", *[c.alias(n) for n, c in m.finish(across, name).items()])
     carried_names = [c for c in folded.columns if c not in key and c != SLICE]
-    carry = folded.select(*key, SLICE, *[F.col(c).alias(f"_c_{c}") for c in carried_names])
-    # At most one row per slice of a heavy key: bounded by MAX_SLICES like the cuts.
-    joined = local.join(F.broadcast(carry), [*key, SLICE], "left")
+    carry = folded.select(*[F.col(c).alias(f"_k_{c}") for c in [*key, SLICE]], *[F.col(c).alias(f"_c_{c}") for c in carried_names])
+    # As many rows as slices and one for each border.
+    joined = local.join(F.broadcast(carry), [local[c].eqNullSafe(carry[f"_k_{c}"]) for c in [*key, SLICE]], "left")
     merged = {n: c for name, m in measures.items()
               for n, c in m.merge(lambda x: F.col(f"_c_{x}"), name).items()}
     return joined.select(*[merged[c].alias(c) if c in merged else F.col(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import settings as S
@@ -34,9 +36,9 @@ def events(spark, sf_dir, profile=FULL) -> DataFrame:
     return adapters.from_events(spark, sf_dir, profile=profile)
 
 
-def features(spark, sf_dir, profile=FULL) -> DataFrame:
+def features(spark, sf_dir, profile=FULL, wanted=None) -> DataFrame:
     t = events(spark, sf_dir, profile)
-    return transfer_features(t, confirmed_from_labels(t, DELAY), profile)
+    return transfer_features(t, confirmed_from_labels(t, DELAY), profile, wanted=wanted)
 
 
 def decided(spark, sf_dir) -> DataFrame:
@@ -63,7 +65,7 @@ ALL = Q.all_of(DELAY)
 
 def _feature_query(name: str, reals=(), whole=()):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return features(spark, sf_dir).select(*_cols(*reals, whole=whole))
+        return features(spark, sf_dir, wanted=[*reals, *whole]).select(*_cols(*reals, whole=whole))
     run.__name__ = name
     run.__doc__ = ", ".join([*reals, *whole])
     query(_sql(ALL, reals, whole))(run)
@@ -78,7 +80,7 @@ _feature_query("daily_sum", ("daily_sum_ratio",))
 _feature_query("new_payees", ("sender_new_payee_sum_24h",), ("is_new_payee", "sender_new_payees_24h"))
 _feature_query("session_z", ("secs_login_z",), ("active_call",))
 _feature_query("home_region", whole=("geo_is_anomaly",))
-_feature_query("impossible_travel", ("travel_distance_km",))
+_feature_query("impossible_travel", ("travel_distance_km", "travel_kmh"))
 _feature_query("payee_fan_in", ("rcv_inflow_1h",), ("rcv_distinct_senders_1h",))
 _feature_query("payee_day", ("payee_inflow_24h",), ("payee_payers_24h", "payee_payers_7d", "payee_new_payers_24h"))
 _feature_query("sender_inbound_asof", ("secs_since_sender_inbound",))
@@ -106,6 +108,24 @@ def decisions(spark, sf_dir):
     return decided(spark, sf_dir).select("transaction_id", "final_score", "decision", "predicted_type", "model_version")
 
 
+@contextmanager
+def sliced(spark, transfers: DataFrame, parts: int):
+    """Plans built inside deal every order into slices, as if a task held one part of the rows at most."""
+    before = spark.conf.get("ledgerlens.rowsPerSlice", None)
+    spark.conf.set("ledgerlens.rowsPerSlice", max(1, transfers.count() // parts))
+    try:
+        yield
+    finally:
+        spark.conf.unset("ledgerlens.rowsPerSlice") if before is None else spark.conf.set("ledgerlens.rowsPerSlice", before)
+
+
+@query(ORACLE["decisions"])
+def decisions_sliced(spark, sf_dir):
+    """FS-*, FP-*, RU-*, DE-* as with keys too heavy for a task: the busiest accounts are dealt into slices."""
+    with sliced(spark, events(spark, sf_dir), 110):
+        return decisions(spark, sf_dir)
+
+
 _SCORED_DECISION = f"""{_DECIDED},
 m as (select *, cast(tid as bigint) * 7919 % 1000 / 1000 ml from d)"""
 
@@ -305,6 +325,13 @@ def time_split(spark, sf_dir):
     return metrics.time_split(scored(spark, sf_dir)).select("transaction_id", F.col("position").cast("bigint").alias("position"), "part")
 
 
+@query(ORACLE["time_split"])
+def time_split_sliced(spark, sf_dir):
+    """ML-2, as with an order too long for a task."""
+    with sliced(spark, events(spark, sf_dir), 8):
+        return time_split(spark, sf_dir)
+
+
 @query(f"with {_SPLIT} select part, count(*) n, sum(label)::bigint fraud, round(avg(label), 6) fraud_share from z group by part")
 def dataset_makeup(spark, sf_dir):
     """AGG-14."""
@@ -460,12 +487,11 @@ def band_pick(spark, sf_dir):
     return metrics.second_look_band(scored(spark, sf_dir), 0.45).select("transaction_id", "score")
 
 
-@query(f"""with {_S}, c as (select sum(label) f, sum(1 - label) l, ceil(sum(1 - label) / (1000 - sum(label))) n from sc)
-select cast(n as bigint) pieces, cast(f * n as bigint) fraud_rows, cast(l as bigint) ordinary_rows, cast(f + ceil(l / n) as bigint) largest from c""")
+@query(f"""with {_S}, c as (select sum(label) f, least(sum(label), 500) k, sum(1 - label) l from sc), d as (select *, ceil(l / (1000 - k)) n from c)
+select cast(n as bigint) pieces, cast(k * n as bigint) fraud_rows, cast(l as bigint) ordinary_rows, cast(k + ceil(l / n) as bigint) largest from d""")
 def training_pieces(spark, sf_dir):
-    """ML-21: every fraud in each piece, the rest dealt evenly."""
-    fraud = events(spark, sf_dir).agg(F.sum("label")).first()[0]
-    dealt = metrics.training_pieces(scored(spark, sf_dir), max(1000, fraud + 1))
+    """ML-21: the frauds (a sample of half a piece at most) in each piece, the rest dealt evenly."""
+    dealt = metrics.training_pieces(scored(spark, sf_dir), 1000)
     per = dealt.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("f"))
     return per.agg(F.count(F.lit(1)).alias("pieces"), F.sum("f").cast("bigint").alias("fraud_rows"),
                    F.sum(F.col("n") - F.col("f")).cast("bigint").alias("ordinary_rows"), F.max("n").alias("largest"))

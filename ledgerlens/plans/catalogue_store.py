@@ -294,11 +294,11 @@ def second_look_panel(spark, sf_dir):
     return D.second_look_panel(records(spark, sf_dir)).select(*[F.col(c).cast("bigint").alias(c) for c in ("sent", "held", "unanswered")])
 
 
-@query("""with r as (select o_orderkey, o_totalprice, o_orderdate from orders where o_orderkey % 100 = 0)
+@query("""with r as (select o_orderkey, o_totalprice, o_orderdate from orders)
 select cast(o_orderkey as bigint) logged, round(o_totalprice, 2) served_f1 from r order by o_orderdate desc, o_orderkey limit 10""")
 def last_retrains(spark, sf_dir):
-    """TOP-5, SNK-8's columns: the ten newest runs."""
-    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 100 = 0").select(
+    """TOP-5: the ten newest runs, of a run for each order."""
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.struct(F.col("o_orderdate"), (-F.col("o_orderkey")).alias("n")).alias("run_at"),
         F.col("o_orderkey").alias("logged"), F.round("o_totalprice", 2).alias("served_f1"))
     return D.last_retrains(runs).select("logged", "served_f1")
@@ -441,15 +441,16 @@ def settled_labels(spark, sf_dir):
 
 # --- Audit --------------------------------------------------------------------------------
 
-def audit_log(spark, sf_dir, chains=8) -> DataFrame:
-    core = audit.audit_core(final(spark, sf_dir).select(
+def audit_log(spark, sf_dir) -> DataFrame:
+    decided = final(spark, sf_dir)
+    core = audit.audit_core(decided.select(
         "transaction_id", "event_time", "decision", "final_score", "model_version", "rule_hits",
         F.sha2(F.col("transaction_id"), 256).alias("ingress_hash")))
-    return stored(audit.append_chain(core, ["event_time", "transaction_id"], chains))
+    return stored(audit.append_chain(core, ["event_time", "transaction_id"], audit.chains_for(decided.count())))
 
 
-CHAINS = 8
-_CHAINED = f"""{STORE}, chained as (select *, cast('0x' || substr(md5(transaction_id), 1, 8) as bigint) % {CHAINS} chain_id from fin),
+_CHAINED = f"""{STORE}, chained as (select *, cast('0x' || substr(md5(transaction_id), 1, 8) as bigint)
+% (select greatest(8, (count(*) + 999999) // 1000000) from fin) chain_id from fin),
 placed as (select *, row_number() over (partition by chain_id order by event_us, transaction_id) - 1 seq from chained)"""
 
 
@@ -460,6 +461,37 @@ def audit_chain(spark, sf_dir):
                                            "decision", "ingress_hash")
 
 
+@query(f"""with recursive {_CHAINED}, core as (select chain_id, seq, transaction_id, sha256(transaction_id) ingress from placed),
+walk as (select chain_id, seq, repeat('0', 64) prev_hash, sha256(concat_ws(chr(31), repeat('0', 64), '0', ingress, transaction_id)) record_hash
+from core where seq = 0 union all select c.chain_id, c.seq, w.record_hash,
+sha256(concat_ws(chr(31), w.record_hash, cast(c.seq as varchar), c.ingress, c.transaction_id)) from walk w join core c
+on c.chain_id = w.chain_id and c.seq = w.seq + 1) select * from walk""")
+def audit_hashes(spark, sf_dir):
+    """AU-1..3: every link's hashes, for records whose payload is their id."""
+    core = final(spark, sf_dir).select("transaction_id", "event_time", F.sha2(F.col("transaction_id"), 256).alias("ingress_hash"),
+                                       F.col("transaction_id").alias("payload"))
+    log = audit.append_chain(core, ["event_time", "transaction_id"], audit.chains_for(core.count()))
+    return log.select("chain_id", F.col("seq").cast("bigint").alias("seq"), "prev_hash", "record_hash")
+
+
+@query(f"""with {_CHAINED}, n as (select chain_id, count(*) records, max(seq) last_seq, arg_max(transaction_id, seq) newest from placed group by chain_id)
+select chain_id, records, last_seq, newest, case when last_seq >= 20 then 1 else 0 end findings from n""")
+def audit_window(spark, sf_dir):
+    """AU-5: each chain's head, and what a check of its last 20 records finds: a record that was altered 10 before the end, and
+    none of those altered before that."""
+    log = audit_log(spark, sf_dir)
+    heads = stored(audit.chain_heads(log))
+    back = heads.select("chain_id", F.col("last_seq").alias("_last"))
+    damaged = log.join(back, "chain_id").withColumn("ingress_hash", F.when(
+        F.col("_last") - F.col("seq") >= 20, "0").when((F.col("_last") - F.col("seq") == 10) & (F.col("_last") >= 20), "0")
+        .otherwise(F.col("ingress_hash"))).drop("_last")
+    found = audit.verify_chain(damaged, 20).groupBy("chain_id").agg(F.count(F.lit(1)).alias("findings"))
+    newest = log.join(back, "chain_id").filter("seq = _last").select("chain_id", F.col("transaction_id").alias("newest"))
+    return (heads.join(found, "chain_id", "left").join(newest, "chain_id")
+            .select("chain_id", "records", F.col("last_seq").cast("bigint").alias("last_seq"), "newest",
+                    F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings")))
+
+
 @query(f"with {STORE} select 0 findings, count(*) records from fin")
 def audit_intact(spark, sf_dir):
     """AU-4: a log as written has no finding."""

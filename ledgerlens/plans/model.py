@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .. import settings as S
 from ..functions.phrases import phrase_sql
 from ..operators.metrics import class_weight, training_pieces
+from ..sources.files import stored
 
 
 @dataclass
@@ -155,10 +156,10 @@ def explain_holds(model: Committee | None, records: DataFrame, top: int = 3) ->
 
 def second_look_scores(context: DataFrame, band: DataFrame, features: list[str], pieces: int = 2,
                        piece_rows: int = S.PIECE_ROWS) -> DataFrame:
-    """A second model's view of the band: one classifier per piece of the training rows, after
-    median imputation and scaling; the mean of their probabilities. A piece is bounded by
-    `piece_rows`, so a fit is small; the band is scored as a DataFrame."""
-    dealt = training_pieces(context, piece_rows)
+    """A second model's view of the band: the mean of `pieces` classifiers, each fitted on a piece of the training rows after median
+    imputation and scaling. The first so many pieces, of `piece_rows` each, bound the rows that are fitted on; the whole band is
+    scored."""
+    dealt = stored(training_pieces(context, piece_rows, wanted=pieces))
     scored, names = band, []
     for k in range(pieces):
         part = dealt.filter(F.col("piece") == k)

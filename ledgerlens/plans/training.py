@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import settings as S
 from ..operators import metrics
 from ..operators.confirmed import confirmed_from_labels
+from ..operators.decision import latest
 from ..operators.features import transfer_features
 from ..operators.lookups import labelled_by_verdicts, without_replays
 from ..operators.rules import with_rules
@@ -26,16 +27,16 @@ def training_matrix(transfers: DataFrame, profile: Profile = FULL,
                        "cep_score", "rule_hits", F.coalesce("label", F.lit(0)).alias("label"), "label_type")
 
 
-def logged_decisions(decisions: DataFrame, cases: DataFrame, held_out: DataFrame, width: int,
-                     cap: int = S.MAX_LOGGED) -> DataFrame:
-    """The newest decisions with a whole feature vector, one per transfer, labelled by verdicts,
-    without replays."""
-    whole = decisions.filter(F.size("features") == width)
-    cols = [c for c in whole.columns if c != "transaction_id"]
-    latest = (whole.groupBy("transaction_id").agg(F.max_by(F.struct(*cols), "scored_at_job").alias("d"))
-              .select("transaction_id", "d.*"))
-    newest = latest.orderBy(F.desc("scored_at_job"), "transaction_id").limit(cap)
-    return labelled_by_verdicts(without_replays(newest, held_out), cases)
+def logged_decisions(decisions: DataFrame, cases: DataFrame, held_out: DataFrame, width: int) -> DataFrame:
+    """Every transfer's latest decision that has all `width` features, and the label that its case's verdict gives it; what was
+    sent in again for a test is left out. Figures read all of them; `fitting_rows` bounds what a learner is fitted on."""
+    whole = without_replays(decisions.filter(F.size("features") == width), held_out)
+    return labelled_by_verdicts(latest(whole, ["transaction_id"], [F.desc("scored_at_job")]), cases)
+
+
+def fitting_rows(logged: DataFrame, most: int = S.FITTING_ROWS, at: str = "scored_at_job") -> DataFrame:
+    """The newest `most` decisions, the bound of a fit."""
+    return logged.orderBy(F.desc(at), "transaction_id").limit(most)
 
 
 def train(matrix: DataFrame, profile: Profile = FULL, **fit) -> tuple[Committee, float, DataFrame]:

@@ -59,7 +59,7 @@ class Profile:
         return [r for r in S.RULE_WEIGHTS if r in live]
 
     def reachable(self, scheme: str) -> float:
-        """The highest rule score this scheme can reach with the rules switched on."""
+        """What the scheme's rules add up to in this deployment, 1 at most."""
         live = set(self.rules)
         return min(1.0, sum(S.RULE_WEIGHTS[r] for r in S.SCHEME_RULES[scheme] if r in live))
 

@@ -51,7 +51,7 @@ RULE_WEIGHTS = {
 }
 MANDATORY_RULES = ("STRUCTURING", "DAILY_LIMIT_BREACH")
 
-# The rules that fire together on one scheme.
+# Scheme -> its signature: rules whose weights add up to what the rule score reaches on it.
 SCHEME_RULES = {
     "APP": ("NEW_PAYEE_HIGH_AMOUNT", "COACHED_SESSION"),
     "ATO": ("GEO_ANOMALY", "IMPOSSIBLE_TRAVEL", "VELOCITY"),
@@ -88,7 +88,7 @@ MIN_WEIGHTED_RATE = 0.005
 PSI_MOVED = 0.25
 MIN_DRIFT_ROWS = 1_000
 MIN_FRAUD = 30
-MAX_LOGGED = 1_000_000
+FITTING_ROWS = 1_000_000
 REPORT_DELAY = 604_800
 REPLAY_PREFIX = "replay-"
 ALERT_BUDGET = 0.02

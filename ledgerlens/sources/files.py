@@ -21,13 +21,13 @@ def read_labelled(spark: SparkSession, path: str, fmt: str = "csv", limit: int |
 
 
 def read_banks(spark: SparkSession, path: str) -> DataFrame:
-    """The BIN registry; raises when it is missing or holds no BIN."""
+    """Card prefixes and their banks from a CSV file with a header. An empty registry is an error, as it would name no bank ever."""
     schema = "bin string, code string, name string, cards_mln double"
     rows = spark.read.schema(schema).csv(path, header=True).select(
         F.trim("bin").alias("bin"), F.trim("code").alias("code"), F.trim("name").alias("name"),
         F.coalesce("cards_mln", F.lit(0.0)).alias("cards_mln")).filter(F.col("bin") != "")
     if rows.isEmpty():
-        raise ValueError(f"{path} has no BIN row")
+        raise ValueError(f"no card prefix in {path}")
     return rows
 
 
@@ -59,7 +59,7 @@ def materialised(build, source: DataFrame, columns: list[str], folder: str, refu
     here = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p))
     if not here(f"{path}/_SUCCESS"):
         if refuse_other and here(folder) and len(fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))):
-            raise ValueError(f"{folder} was built from other data or columns")
+            raise ValueError(f"matrices in {folder} do not belong to this source and these columns")
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

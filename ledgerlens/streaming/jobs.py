@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import settings as S
 from ..contract import to_transfers
-from ..operators.cases import confirmed_intervals
+from ..operators.cases import CASE_VERSIONS, confirmed_intervals
 from ..operators.decision import Cutoffs, decide, decision_record, second_look_verdict
 from ..operators.features import transfer_features
 from ..operators.rules import with_rules
@@ -37,6 +37,7 @@ class Job:
     second_look_answers: Callable[[], bool] = lambda: True
     audit_all: bool = True
     chains: int = 1
+    known_accounts: Callable[[SparkSession], DataFrame | None] = lambda spark: None   # `account`: confirmed before the job began
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of wire records (value, arrived)."""
@@ -75,7 +76,9 @@ class Job:
     def features(self, fresh: DataFrame, history: DataFrame | None) -> DataFrame:
         cases = read_table(fresh.sparkSession, self.root, "cases")
         # Read anew for each batch: a verdict counts from the next batch on.
-        confirmed = None if cases is None else confirmed_intervals(cases.drop("batch"))
+        known = self.known_accounts(fresh.sparkSession)
+        confirmed = None if cases is None and known is None else confirmed_intervals(
+            fresh.sparkSession.createDataFrame([], CASE_VERSIONS) if cases is None else cases.drop("batch"), known)
         if history is None:
             return transfer_features(fresh, confirmed, self.profile)
         context, prior = snapshots.context_of(fresh, history, self.root)
@@ -97,7 +100,7 @@ def second_look(root: str, scorer: Callable[[DataFrame], DataFrame], cut: float,
         now = F.unix_micros(F.current_timestamp()) / 1e6
         done = second_look_verdict(scorer(waiting), cut, checkpoint_name, now)
         done = done.withColumn("stage_ms", F.lit(None).cast("map<string,double>"))
-        store_decisions(done, f"{root}/second_look_answers", batch_id, chains=chains)
+        store_decisions(done, root, batch_id, chains=chains, source="_second_look_")
     return handle
 
 

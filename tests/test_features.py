@@ -49,6 +49,26 @@ def test_a_constant_history_has_no_spread(spark, small_slices):
     compare(spark, rows, [("A3", rows[3]["us"], None)])
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chosen_features_leave_out_the_rest(spark, sf):
+    from ledgerlens.operators.confirmed import confirmed_from_labels
+    from ledgerlens.sources.adapters import from_events
+    t = from_events(spark, sf)
+    plan = plan_of(transfer_features(t, confirmed_from_labels(t), wanted=["vel_10m", "vel_1h"]))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "NestedLoop" not in plan
+
+
+def test_slices_need_no_nested_loop(spark, sf, small_slices):
+    from ledgerlens.operators.metrics import time_split
+    from ledgerlens.sources.adapters import from_events
+    spark.conf.set("ledgerlens.rowsPerSlice", "100")
+    plan = plan_of(time_split(from_events(spark, sf)))
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_no_hot_key_means_two_wide_shuffles(spark, sf):
     from ledgerlens.sources.adapters import from_events
     plan = transfer_features(from_events(spark, sf))._jdf.queryExecution().executedPlan().toString()

@@ -195,6 +195,9 @@ def test_split_weights_pieces(spark, small_slices):
     assert metrics.class_weight(df.filter("label = 0")).first()["weight"] == 1.0
     dealt = metrics.training_pieces(df, 110).groupBy("piece").agg(F.count("*").alias("n"), F.sum("label").alias("f")).collect()
     assert len(dealt) == 10 and all(r["f"] == 10 and r["n"] == 109 for r in dealt)
+    # More frauds than fit into a piece: a sample of half a piece.
+    dealt = metrics.training_pieces(df.withColumn("label", F.col("label").bitwiseXOR(F.lit(1))), 20, wanted=3)
+    assert {(r["piece"], r["f"]) for r in dealt.groupBy("piece").agg(F.sum("label").alias("f")).collect()} == {(0, 10)}
 
 
 def test_psi(spark, small_slices):
