@@ -275,7 +275,8 @@ def dataset_summary(spark, sf_dir):
 
 @query("""with x as (select o_orderkey, o_custkey, o_totalprice, date_diff('hour', timestamp '1992-01-01', o_orderdate) step,
 o_orderkey % 50 dest from orders where o_orderpriority in ('1-URGENT', '2-HIGH')), m as (select 138740 / median(o_totalprice) f from x)
-select 'N' || o_custkey sender_key, 'N' || dest payee_key, step * 3600000000 event_us, round(o_totalprice * f, 4) amount from x, m""")
+select concat_ws('-', step, 'N' || o_custkey, 'N' || dest, o_totalprice) || coalesce('-' || nullif(row_number() over (
+partition by step, o_custkey, dest, o_totalprice), 1), '') transaction_id, 'N' || o_custkey sender_key, 'N' || dest payee_key, step * 3600000000 event_us, round(o_totalprice * f, 4) amount from x, m""")
 def paysim_rows(spark, sf_dir):
     """SRC-5: rename, step to time, TRANSFER rows only, median rescaling."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -284,7 +285,7 @@ def paysim_rows(spark, sf_dir):
         hour.alias("step"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "TRANSFER").otherwise("CASH_OUT").alias("type"),
         F.col("o_totalprice").alias("amount"), F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("nameOrig"),
         F.concat(F.lit("N"), (F.col("o_orderkey") % 50).cast("string")).alias("nameDest"), F.lit(0).alias("isFraud"))
-    return adapters.paysim(raw).select("sender_key", "payee_key", "event_us", _r("amount", 4))
+    return adapters.paysim(raw).select("transaction_id", "sender_key", "payee_key", "event_us", _r("amount", 4))
 
 
 @query("""with x as (select 'A' || o_custkey s, 'A' || (o_orderkey % 30) p, o_totalprice a, cast(c_nationkey as varchar) cur,

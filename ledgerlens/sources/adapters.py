@@ -77,15 +77,25 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         currency=F.col("c_nationkey").cast("string"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `copy`: equal rows are counted before the shuffle and come back numbered from 1."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+
+
+def _told_apart(ident: Column) -> Column:
+    return F.when(F.col("copy") == 1, ident).otherwise(F.concat_ws("-", ident, F.col("copy").cast("string")))
+
+
 def paysim(rows: DataFrame, transfers_only: bool = True) -> DataFrame:
     """PaySim-shaped rows: hourly steps, accounts, no cards; amounts rescaled by the median."""
     if transfers_only:
         rows = rows.filter(F.col("type") == "TRANSFER")
-    scaled = rescaled(rows, "amount", [])
+    scaled = rescaled(numbered(rows), "amount", [])
     ident = F.concat_ws("-", F.col("step").cast("string"), F.col("nameOrig"), F.col("nameDest"),
                         F.col("amount").cast("string"))
     return _transfers(
-        scaled, foreign("geo_telemetry", "session_telemetry"), transaction_id=ident,
+        scaled, foreign("geo_telemetry", "session_telemetry"), transaction_id=_told_apart(ident),
         event_us=F.col("step").cast("bigint") * S.HOUR * US,
         sender_id=F.col("nameOrig"), receiver_id=F.col("nameDest"),
         amount=F.col("scaled_amount"), label=F.col("isFraud").cast("int"))
@@ -116,11 +126,11 @@ def bank_rows(raw: DataFrame) -> DataFrame:
 
 def bank_transfers(rows: DataFrame) -> DataFrame:
     """Bank-transfer rows as transfers: one scale per currency, from its median."""
-    scaled = rescaled(rows, "amount", ["currency"])
+    scaled = rescaled(numbered(rows), "amount", ["currency"])
     ident = F.sha2(F.concat_ws("\x1f", "timestamp", "sender", "receiver", F.col("amount").cast("string"),
                                "currency", "fmt"), 256)
     return _transfers(
-        scaled, foreign("geo_telemetry", "session_telemetry"), transaction_id=ident,
+        scaled, foreign("geo_telemetry", "session_telemetry"), transaction_id=_told_apart(ident),
         event_us=F.unix_micros("at"), sender_id=F.col("sender"), receiver_id=F.col("receiver"),
         amount=F.col("scaled_amount"), label=F.col("label").cast("int"), currency=F.col("currency"))
 
