@@ -3,12 +3,15 @@ fit for small data only. They check the Spark plans and share no code with them.
 
 from __future__ import annotations
 
-from .. import settings as S
-from ..functions.geo import EARTH_RADIUS_KM, REGIONS
-
-REGION_LIST = "[" + ", ".join(f"'{r}'" for r in REGIONS) + "]"
-SCHEME_LIST = "[" + ", ".join(f"'{r}'" for r in S.SCHEME_RULES) + "]"
-POINTS = "points(r, lat, lon) as (values " + ", ".join(f"('{r}', {a}, {b})" for r, (a, b) in REGIONS.items()) + ")"
+# Fixed values, written out here so that a wrong one in the plans does not agree with itself.
+_POINTS = """('Andijan', 40.7821, 72.3442), ('Bukhara', 39.7747, 64.4286), ('Fergana', 40.3864, 71.7864), ('Jizzakh', 40.1158, 67.8422),
+('Karakalpakstan', 42.46, 59.61), ('Kashkadarya', 38.8606, 65.7891), ('Khorezm', 41.55, 60.6333), ('Namangan', 40.9983, 71.6726),
+('Navoi', 40.0844, 65.3792), ('Samarkand', 39.6542, 66.9597), ('Surkhandarya', 37.2242, 67.2783), ('Syrdarya', 40.4897, 68.7842),
+('Tashkent City', 41.2995, 69.2401), ('Tashkent Region', 41.0167, 69.35)"""
+POINTS = f"points(r, lat, lon) as (values {_POINTS})"
+REGION_LIST = ("['Andijan', 'Bukhara', 'Fergana', 'Jizzakh', 'Karakalpakstan', 'Kashkadarya', 'Khorezm', 'Namangan', 'Navoi', "
+               "'Samarkand', 'Surkhandarya', 'Syrdarya', 'Tashkent City', 'Tashkent Region']")
+SCHEME_LIST = "['APP', 'ATO', 'STRUCTURING', 'MULE']"
 EPOCH = 1_704_067_200_000_000
 
 # Transfers from `events`, as the adapter defines them.
@@ -42,7 +45,7 @@ def win(seconds: int) -> str:
 
 MARKED = f"""
 n as (select *, row_number() over (partition by s, p order by us, tid) = 1 is_new,
-             coalesce(us - lag(us) over (partition by p, s order by us, tid) > {S.MONTH * 1_000_000}, true) new_payer
+             coalesce(us - lag(us) over (partition by p, s order by us, tid) > 2592000000000, true) new_payer
       from t)"""
 
 SENDER = f"""
@@ -79,7 +82,7 @@ TRAVEL = f"""
 moved as (select tid, region, us, lag(region) over w r0, us - lag(us) over w gap from t
           window w as (partition by s order by us, tid)),
 trip as (select m.tid, case when r0 <> m.region then
-                2 * {EARTH_RADIUS_KM} * asin(sqrt(pow(sin((radians(q.lat) - radians(o.lat)) / 2), 2)
+                2 * 6371.0088 * asin(sqrt(pow(sin((radians(q.lat) - radians(o.lat)) / 2), 2)
                   + cos(radians(o.lat)) * cos(radians(q.lat)) * pow(sin((radians(q.lon) - radians(o.lon)) / 2), 2)))
                 else 0 end km, gap
          from moved m left join points o on o.r = r0 left join points q on q.r = m.region)"""
