@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..ship import ship
 from ..sources.files import stored
 from .rows import KEY, covered, decided, kind, named, same_row
 from .words import LOWER, Words, minimisers, slices
@@ -77,6 +78,7 @@ def _shared(a: str, b: str, most: int):
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): each text's key and n_words; and the shared runs [start, stop) of a text's words with the item they are in."""
     spark, id_kind = docs.sparkSession, kind(docs)
+    ship(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"),
                              F.col("text").cast("string").alias("text"))
     every = list(range(1, window))

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..ship import ship
+
 NEAREST = 5
 #: Rows of a block on either side, and how many queries a task multiplies at once.
 BLOCK = 8192
@@ -33,6 +35,7 @@ ROUNDING = 4e-6
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part."""
+    ship(vectors.sparkSession)
     vector = F.col(vector_column).cast("array<double>")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (vectors.select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..ship import ship
+
 KEY = ("doc_id", "text_hash")
 
 
 def named(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text_hash and text of each row; all other columns are left out, so none can clash."""
+    ship(docs.sparkSession)
     text = F.col(text_column).cast("string")
     return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 

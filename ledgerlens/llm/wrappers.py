@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..ship import ship
 from ..sources.files import stored
 from .trees import Node, matching, nodes, tree
 from .words import slices
@@ -180,6 +181,7 @@ def _html(column: pa.Array) -> list[str]:
 
 def host_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, html and host, of lower-case name."""
+    ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
 
