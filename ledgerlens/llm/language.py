@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Each language has a zstandard raw-content dictionary of its own, made of a bounded sample of labelled documents: `SAMPLE_ROWS`
-documents a language, the first in an order of hashes, `SAMPLE_CHARS` characters of each (bounds of the fit only; every text is
+documents a language at most, drawn by hash, `SAMPLE_CHARS` characters of each (bounds of the fit only; every text is
 classified whole). A text is compressed with every dictionary, and the smallest result names its language. Case, digits and
 punctuation are left out on both sides. The score is the share that the smallest saves against the second smallest.
 
@@ -44,12 +44,24 @@ def fold(docs: DataFrame):
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """What each language's sample holds, at most DICTIONARY_BYTES; the sample is all that reaches the driver."""
+    """What each language's sample holds, at most DICTIONARY_BYTES; the sample is all that reaches the driver.
+
+    Rows are drawn by hash, twice as many as wanted by the language's count, before the first of them are ranked: what is ranked
+    does not grow with the table.
+    """
     labelled = (docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-                .filter(F.col("lang").isNotNull() & (fold(docs) != 0) & F.col("text").rlike(r"\p{L}")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = (labelled.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_ROWS)
-              .select("lang", "place", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect())
+                .filter(F.col("lang").isNotNull() & (fold(docs) != 0)))
+    counts = {r["lang"]: r["rows"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    if not counts:
+        return {}
+    rows = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
+    drawn = (labelled.withColumn("hash", F.xxhash64("doc_id", "text"))
+             .filter((F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)) * rows <= 2 * SAMPLE_ROWS)
+             .filter(F.col("text").rlike(r"\p{L}"))
+             .select("lang", "hash", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")))
+    first = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    sample = (drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_ROWS)
+              .select("lang", "place", "text").collect())
     texts: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["place"])):
         texts.setdefault(row["lang"], []).append(plain(row["text"]))
