@@ -451,6 +451,27 @@ def psi_drift(spark, sf_dir):
     return metrics.psi(ref, cur, _PSI_FEATURES).select("feature", _r("psi"), "moved")
 
 
+_ALL_FEATURES = ", ".join(f"{{'f': '{n}', 'v': round(cast({n} as double), 6)}}" for n in FULL.feature_names)
+
+
+@query(f"""with {ALL}, l as (select cast(tid as bigint) % 2 side, unnest([{_ALL_FEATURES}]) u from f),
+x as (select side, u.f feature, u.v v from l),
+ed as (select feature, list_distinct(quantile_cont(v, [.1, .2, .3, .4, .5, .6, .7, .8, .9])) es from x where side = 0 group by feature),
+bn as (select x.feature, side, len(list_filter(es, lambda z: v >= z)) b, len(es) ne from x join ed using (feature)),
+ct as (select feature, b, count(*) filter (side = 0) p, count(*) filter (side = 1) q from bn group by feature, b),
+fr as (select feature, max(ne) + 2 nb, count(*) filter (side = 0) np, count(*) filter (side = 1) nq from bn group by feature),
+gr as (select feature, nb, np, nq, unnest(range(-1, nb - 1)) b from fr),
+sh as (select gr.feature, (coalesce(p, 0) + .5) / (np + .5 * nb) ps, (coalesce(q, 0) + .5) / (nq + .5 * nb) qs from gr left join ct on ct.feature = gr.feature and ct.b = gr.b)
+select feature, round(sum((qs - ps) * ln(qs / ps)), 3) psi, sum((qs - ps) * ln(qs / ps)) > 0.25 moved from sh group by feature""")
+def psi_features(spark, sf_dir):
+    """ML-13: drift of all features between two halves of the transfers."""
+    names = FULL.feature_names
+    rows = features(spark, sf_dir, wanted=names).select(
+        "transaction_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in names])
+    half = F.col("transaction_id").cast("bigint") % 2
+    return metrics.psi(rows.filter(half == 0), rows.filter(half == 1), names).select("feature", _r("psi", 3), "moved")
+
+
 def _two_scores(spark, sf_dir):
     i = F.col("transaction_id").cast("bigint")
     return scored(spark, sf_dir).withColumns({"old": F.col("score"), "new": i * 104729 % 997 / 1000 * 0.5 + F.col("label") * 0.3})

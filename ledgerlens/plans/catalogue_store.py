@@ -177,14 +177,14 @@ def envelope_roundtrip(spark, sf_dir):
 # --- Cards --------------------------------------------------------------------------------
 
 def banks(spark, sf_dir) -> DataFrame:
-    """A registry of two BINs, named by two regions of the table."""
-    r = spark.read.parquet(f"{sf_dir}/region.parquet").filter("r_regionkey < 2")
-    return r.select(F.when(F.col("r_regionkey") == 0, "986001").otherwise("860003").alias("bin"),
+    """A registry of one BIN for each region of the table."""
+    r, k = spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("r_regionkey")
+    return r.select(F.when(k == 0, "986001").when(k == 1, "860003").otherwise(F.concat(F.lit("40000"), k.cast("string"))).alias("bin"),
                     F.lpad(F.col("r_regionkey").cast("string"), 5, "0").alias("code"), F.col("r_name").alias("name"))
 
 
-@query(f"""with {ROWS}, b as (select case when r_regionkey = 0 then '986001' else '860003' end bin, lpad(cast(r_regionkey as varchar), 5, '0') code, r_name name
-from region where r_regionkey < 2) select transaction_id, coalesce(b.code, '00000') bank_code, coalesce(b.name, 'UNKNOWN') bank_name,
+@query(f"""with {ROWS}, b as (select case r_regionkey when 0 then '986001' when 1 then '860003' else '40000' || r_regionkey end bin, lpad(cast(r_regionkey as varchar), 5, '0') code, r_name name
+from region) select transaction_id, coalesce(b.code, '00000') bank_code, coalesce(b.name, 'UNKNOWN') bank_name,
 case when receiver_card like '8600%' then 'UzCard' when receiver_card like '9860%' then 'HUMO' end network
 from rec left join b on substr(receiver_card, 1, 6) = b.bin""")
 def bin_lookup(spark, sf_dir):
@@ -258,6 +258,21 @@ def top_row(spark, sf_dir):
                                   F.round("share_held", 6).alias("share_held"), "median_ms", "p99_ms")
 
 
+@query(f"""with {STORE}, x as (select * from fin where event_us > (select max(event_us) from fin) - 3600000000)
+select count(*) checked, count(*) filter (decision = 'REVIEW') held, round(count(*) filter (decision = 'REVIEW') / count(*), 6) share_held from x""")
+def last_hour_row(spark, sf_dir):
+    """AGG-7: the top row over the last hour."""
+    return D.top_row(D.last_hour(final(spark, sf_dir))).select("checked", F.col("held").cast("bigint").alias("held"),
+                                                              F.round("share_held", 6).alias("share_held"))
+
+
+@query(f"""with {STORE}, h as (select * from fin where decision = 'REVIEW') select transaction_id, amount_uzs, (select count(*) from h) passing
+from h order by scored_at_job desc, transaction_id limit 50""")
+def latest_holds(spark, sf_dir):
+    """AGG-10: the latest 50 holds."""
+    return queue.latest_decisions(final(spark, sf_dir), {"decision": "REVIEW"}, 50).select("transaction_id", "amount_uzs", "passing")
+
+
 @query(f"with {STORE}, m as (select {_MS} ms from rec) select " + ", ".join(
     f"round(avg(case when ms < {n} then 1 else 0 end) filter (ms is not null), 6) under_{n}_ms" for n in D.LATENCY_LIMITS_MS) + " from m")
 def latency_share(spark, sf_dir):

@@ -25,6 +25,12 @@ def top_row(decisions: DataFrame) -> DataFrame:
                               "p99_ms": times.select("p99_ms").scalar()})
 
 
+def last_hour(decisions: DataFrame, seconds: int = 3600) -> DataFrame:
+    """The decisions of the last hour before the newest transfer."""
+    newest = decisions.agg(F.max("event_time").alias("m")).select("m").scalar()
+    return decisions.filter(F.unix_micros("event_time") > F.unix_micros(newest) - seconds * S.SECOND_US)
+
+
 def decision_counts(decisions: DataFrame) -> DataFrame:
     """Records and distinct transfers per decision, through one row per transfer and decision."""
     pairs = decisions.groupBy("decision", "transaction_id").agg(F.count(F.lit(1)).alias("n"))
