@@ -44,12 +44,14 @@ def _place() -> Column:
 
 
 def _named(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
-    """`rows` with a column `name`: the first place of the class that `parts` make, null where the class has one place."""
-    whole = rows.filter(" and ".join(f"{p} is not null" for p in parts))
-    classes = (whole.select(*parts, _place()).groupBy(*parts)
+    """`rows`, written once more, with a column `name`: the first place of the class that `parts` make, null where the class has
+    one place. Rows that lack a part are spread over all tasks of the join; by their nulls they would meet in one."""
+    whole = " and ".join(f"{p} is not null" for p in parts)
+    classes = (rows.filter(whole).select(*parts, _place()).groupBy(*parts)
                .agg(F.min("place").alias(name), F.max("place").alias("last"))
-               .filter(F.col(name) != F.col("last")).drop("last"))
-    return rows.join(classes, parts, "left")
+               .filter(F.col(name) != F.col("last")).drop("last").withColumn("apart", F.lit(0).cast("long")))
+    apart = F.when(F.expr(whole), F.lit(0).cast("long")).otherwise(F.xxhash64(*KEY, "at"))
+    return stored(rows.withColumn("apart", apart).join(classes, [*parts, "apart"], "left").drop("apart"))
 
 
 def _ahead(column: str, n: int) -> Column:
@@ -66,7 +68,8 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows, sizes = _named(active, ["h1", "h2"], "run1").drop("h1", "h2"), [1]
     while 2 * sizes[-1] <= least_words:
         size = sizes[-1]
-        rows = _named(rows.withColumn("beyond", _ahead(f"run{size}", size)), [f"run{size}", "beyond"], f"run{2 * size}").drop("beyond")
+        beyond = stored(rows.withColumn("beyond", _ahead(f"run{size}", size)))
+        rows = _named(beyond, [f"run{size}", "beyond"], f"run{2 * size}").drop("beyond")
         sizes.append(2 * size)
     # The shortest runs of enough words that begin and that end at each line.
     begin = end = F.lit(None).cast("int")
@@ -81,8 +84,8 @@ def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         wanted = (F.col("begin") == n) | (_ahead("end", n - 1) == n)
         runs.append(F.when(wanted, F.struct(F.lit(n).alias("length"), F.col(f"run{half}").alias("left"),
                                             _ahead(f"run{half}", n - half).alias("right"))))
-    spelled = (rows.select(*KEY, "at", F.array_compact(F.array(*runs)).alias("runs"))
-               .select(*KEY, "at", F.explode("runs").alias("run")).select(*KEY, "at", "run.*"))
+    spelled = stored(rows.select(*KEY, "at", F.array_compact(F.array(*runs)).alias("runs"))
+                     .select(*KEY, "at", F.explode("runs").alias("run")).select(*KEY, "at", "run.*"))
     found = (_named(spelled, ["length", "left", "right"], "first")
              .filter(F.col("first").isNotNull() & (F.col("first") < F.struct(*KEY, "at"))))
     gone = (found.select(*KEY, F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("at")).distinct()
