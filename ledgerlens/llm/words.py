@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Bytes whose hashes are summed at once.
 _RUN = 1 << 19
 
