@@ -47,11 +47,12 @@ def _named(rows: DataFrame, parts: list[str], name: str) -> DataFrame:
     """`rows`, written once more, with a column `name`: the first place of the class that `parts` make, null where the class has
     one place. Rows that lack a part are spread over all tasks of the join; by their nulls they would meet in one."""
     whole = " and ".join(f"{p} is not null" for p in parts)
-    classes = (rows.filter(whole).select(*parts, _place()).groupBy(*parts)
-               .agg(F.min("place").alias(name), F.max("place").alias("last"))
-               .filter(F.col(name) != F.col("last")).drop("last").withColumn("apart", F.lit(0).cast("long")))
-    apart = F.when(F.expr(whole), F.lit(0).cast("long")).otherwise(F.xxhash64(*KEY, "at"))
-    return stored(rows.withColumn("apart", apart).join(classes, [*parts, "apart"], "left").drop("apart"))
+    rows = rows.withColumn("apart", F.when(F.expr(whole), F.lit(0).cast("long")).otherwise(F.xxhash64(*KEY, "at")))
+    # The classes' own `apart` is 0 as well, but as an aggregate: the optimizer would take a literal out of the join's key.
+    classes = (rows.filter(whole).select(*parts, "apart", _place()).groupBy(*parts)
+               .agg(F.min("place").alias(name), F.max("place").alias("last"), F.min("apart").alias("apart"))
+               .filter(F.col(name) != F.col("last")).drop("last"))
+    return stored(rows.join(classes, [*parts, "apart"], "left").drop("apart"))
 
 
 def _ahead(column: str, n: int) -> Column:
