@@ -27,13 +27,15 @@ CELLS = 250_000
 class Node:
     """A block element: `kids` are its blocks and its runs of text, in page order."""
 
-    __slots__ = ("tag", "mark", "kids", "blocks", "number")
+    __slots__ = ("tag", "mark", "kids", "blocks", "number", "text")
 
     def __init__(self, tag: str, mark: str = ""):
-        self.tag, self.mark, self.kids, self.blocks, self.number = tag, mark, [], [], -1
+        self.tag, self.mark, self.kids, self.blocks, self.number, self.text = tag, mark, [], [], -1, None
 
     def own_text(self) -> str:
-        return " ".join("".join(k if isinstance(k, str) else "\n" for k in self.kids).split())
+        if self.text is None:
+            self.text = " ".join("".join([k if isinstance(k, str) else "\n" for k in self.kids]).split())
+        return self.text
 
 
 class _Reader(HTMLParser):
@@ -126,7 +128,8 @@ def matching(a, b) -> list[tuple[int, int]]:
         if len(xs) * len(ys) > CELLS:
             pairs_of = [weigh(p, q) for p, q in zip(xs, ys, strict=False)]
             return gain + sum(w for w, _ in pairs_of), pairs + [p for _, own in pairs_of for p in own]
-        cells = [[weigh(p, q) if p[1] == q[1] else (0, ()) for q in ys] for p in xs]
+        cells = [[(0, ()) if p[1] != q[1] else weigh(p, q) if p[3] and q[3]
+                  else (2 if p[2] and p[2] == q[2] else 1, ((p[0], q[0]),)) for q in ys] for p in xs]
         best = [[0] * (len(ys) + 1)]
         for row in cells:
             last, line = best[-1], [0]

@@ -125,18 +125,17 @@ def _own_slot(root: Node, held: dict[int, int]) -> Node:
 class Wrapper:
     def __init__(self, kept: str, same: list[int], slot: int | None):
         self.skeleton, self.same, self.slot = json.loads(kept), frozenset(same or ()), slot
+        self.texts = _texts(self.skeleton)
 
     def read(self, root: Node) -> str:
         pairs = matching(self.skeleton, skeleton(root))
-        hashes = {n.number: _hash(n.own_text()) for n in nodes(root)}
-        kept = _texts(self.skeleton)
-        template = {mine for theirs, mine in pairs if theirs in self.same and kept[theirs] == hashes[mine] and hashes[mine]}
+        by_number = {n.number: n for n in nodes(root)}
+        template = {mine for theirs, mine in pairs
+                    if theirs in self.same and self.texts[theirs] and self.texts[theirs] == _hash(by_number[mine].own_text())}
         held = varying(root, template)
         slot = next((mine for theirs, mine in pairs if theirs == self.slot), None)
-        by_number = {n.number: n for n in nodes(root)}
         chosen = by_number[slot] if slot is not None and held.get(slot, 0) else _own_slot(root, held)
-        inside = any(n.tag in MAIN_TAGS and chosen.number in {x.number for x in nodes(n)} for n in by_number.values())
-        return text_of(chosen, template, inside)
+        return text_of(chosen, template, any(x is chosen for n in by_number.values() if n.tag in MAIN_TAGS for x in nodes(n)))
 
 
 def _texts(kept) -> dict[int, int]:
