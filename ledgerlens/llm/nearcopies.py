@@ -4,7 +4,7 @@ A text's k-mers are its runs of five words, labelled with their occurrence so th
 picks the `PICKS` least of them and keeps those k-mers in the order of the text: two texts agree there only if they share the
 k-mers and their order. Texts of the same words are one from the start. Texts that agree in a band are candidates, and a pair is
 verified on its words: Jaccard similarity of the sets of five-word runs of 0.8 or more, and an edit similarity of 0.8 or more by an
-alignment in a band of diagonals.
+exact alignment: a paragraph that moved is edits as any other.
 
 No pairs of a whole group are emitted. First every text of a bucket is verified with one, that which agrees most with others
 anywhere; linked texts are one class by then. Where a bucket still holds several classes, its texts are compared block by block in
@@ -36,6 +36,10 @@ BANDS, PICKS = 32, 5
 SHORT, SHORT_BANDS, SHORT_PICKS = 80, 8, 2
 #: Texts of one block of a bucket's tiles, and columns of a product.
 BLOCK, COLUMNS = 256, 4096
+#: So many edits are looked for along diagonals before whole columns are worked out.
+FEW = 24
+#: Bytes of word masks that are kept at once.
+MASKS = 1 << 24
 
 _SEEDS = mixed(np.arange(1, BANDS + SHORT_BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _ODD = _SEEDS | np.uint64(1)
@@ -105,8 +109,8 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two sequences if it is at most `most`: furthest places on the diagonals of a band that widens by one with
-    each edit."""
+    """Edit distance of two sequences if it is at most `most`. Both ways below are exact: one is fast for few edits, and the other's
+    cost does not grow with the square of their number."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
@@ -118,6 +122,14 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     differ = np.flatnonzero(a[len(a) - short:][::-1] != b[len(b) - short:][::-1])
     tail = int(differ[0]) if len(differ) else short
     x, y = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    if not x or not y:
+        return max(len(x), len(y))
+    found = _few_edits(x, y, min(most, FEW))
+    return found if found is not None or most <= FEW else _many_edits(x, y, most)
+
+
+def _few_edits(x: list, y: list, most: int) -> int | None:
+    """Furthest places on the diagonals of a band that widens by one with each edit."""
     n, m = len(x), len(y)
     reach = {0: 0}  # furthest place in x on diagonal (place in y - place in x)
     for e in range(most + 1):
@@ -139,14 +151,40 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+def _many_edits(x: list, y: list, most: int) -> int | None:
+    """Myers' columns in Hyyro's form: the steps down a column of the edit table, up or down by one, are the bits of two numbers. It
+    ends early once the columns left cannot bring the distance down to `most`."""
+    n, m = len(x), len(y)
+    places: dict[int, list[int]] = {}
+    for i, word in enumerate(x):
+        places.setdefault(word, []).append(i)
+    full, last, held = (1 << n) - 1, n - 1, MASKS // (n // 8 + 1)
+    masks: dict[int, int] = {}
+    rises, falls, score = full, 0, n
+    for left, word in zip(range(m - 1, -1, -1), y, strict=True):
+        equal = masks.get(word)
+        if equal is None:
+            bits = bytearray(n // 8 + 1)
+            for i in places.get(word, ()):
+                bits[i >> 3] |= 1 << (i & 7)
+            if len(masks) >= held:
+                masks.clear()
+            equal = masks[word] = int.from_bytes(bits, "little")
+        across = ((((equal & rises) + rises) ^ rises) | equal) & full
+        up, down = falls | (full ^ (across | rises)), rises & across
+        score += (up >> last) - (down >> last)
+        if score - left > most:
+            return None
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        rises, falls = down | (full ^ (equal | falls | up)), up & (equal | falls)
+    return score if score <= most else None
+
+
 def near(a: np.ndarray, b: np.ndarray, shared: int, a_set: int, b_set: int) -> bool:
     """Whether two texts' words are near copies, given how many five-word runs they share of how many."""
     if shared < SIMILAR * (a_set + b_set - shared) - 1e-9:
         return False
-    # In a copy that keeps its order each edit costs a run at least.
-    lost = a_set + b_set - 2 * shared + abs(len(a) - len(b)) + 2 * SHINGLE
-    most = min(int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9), lost)
-    return edits(a, b, most) is not None
+    return edits(a, b, int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9)) is not None
 
 
 def _verified(batches):
