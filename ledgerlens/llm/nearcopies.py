@@ -11,7 +11,8 @@ anywhere; linked texts are one class by then. Where a bucket still holds several
 tiles of bounded size, by one product of incidence matrices a tile, and only pairs that join two classes are aligned and emitted.
 
 At similarity 0.8 a pair misses a band with probability 0.67, and all of them in about 3 of a million cases; short texts, for which
-the picks use up the k-mers, have more bands of fewer picks.
+the picks use up the k-mers, have more bands of fewer picks. Texts of four and five k-mers agree in such bands only, 16 of them, each
+missed with 0.4: fewer than one in a million is lost.
 
 Defined results: texts without words (null and empty ones too) are a class each; texts of fewer than five words are one run; case
 and punctuation make no difference; repeated rows share a class; the class id is the smallest doc_id in it (null if all are null);
@@ -34,6 +35,8 @@ SIMILAR = 0.8
 BANDS, PICKS = 32, 5
 #: Texts of at most so many k-mers have further bands.
 SHORT, SHORT_BANDS, SHORT_PICKS = 80, 8, 2
+#: And texts of at most so many, more of these: where one of two texts has fewer k-mers than PICKS, only such bands can agree.
+TINY, TINY_BANDS = 10, 8
 #: Texts of one block of a bucket's tiles, and columns of a product.
 BLOCK, COLUMNS = 256, 4096
 #: So many edits are looked for along diagonals before whole columns are worked out.
@@ -41,7 +44,7 @@ FEW = 24
 #: Bytes of word masks that are kept at once.
 MASKS = 1 << 24
 
-_SEEDS = mixed(np.arange(1, BANDS + SHORT_BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_SEEDS = mixed(np.arange(1, BANDS + SHORT_BANDS + TINY_BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _ODD = _SEEDS | np.uint64(1)
 _ORDER = np.array([pow(0xE7037ED1A0B428DB, i, 1 << 64) for i in range(PICKS)], np.uint64)
 
@@ -62,8 +65,9 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     number[order] = np.arange(len(kmers)) - np.repeat(opens, np.diff(np.append(opens, len(kmers))))
     labelled = mixed(kmers + number * np.uint64(0x9FB21C651E98DF25))
     out = []
-    for first, last, picks in ((0, BANDS, PICKS), (BANDS, BANDS + SHORT_BANDS, SHORT_PICKS)):
-        if first and len(kmers) > SHORT:
+    short = BANDS + SHORT_BANDS
+    for first, last, picks, most in ((0, BANDS, PICKS, None), (BANDS, short, SHORT_PICKS, SHORT), (short, short + TINY_BANDS, SHORT_PICKS, TINY)):
+        if most and len(kmers) > most:
             break
         step = max(1, (1 << 20) // len(kmers))
         for low in range(first, last, step):

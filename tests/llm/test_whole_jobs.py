@@ -34,3 +34,12 @@ def test_edits_are_exact_on_both_ways():
         true = distance(a, b)
         for most in {0, max(0, true - 1), true, true + 1, rng.randrange(160), 400}:
             assert nearcopies.edits(np.array(a, np.uint32), np.array(b, np.uint32), most) == (true if true <= most else None)
+
+
+def test_very_short_near_copies_share_a_band():
+    """Four and five k-mers at Jaccard 0.8 exactly."""
+    rng = np.random.default_rng(7)
+    lost = 0
+    for kmers in rng.integers(0, 1 << 64, (12_000, 5), dtype=np.uint64):
+        lost += not (nearcopies.sketch(kmers)[:, None] == nearcopies.sketch(kmers[1:])[None, :]).any()
+    assert lost == 0
