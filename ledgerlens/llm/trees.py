@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
+
 # Element names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -20,8 +22,10 @@ FENCES = frozenset("article aside body div footer form header html main nav sect
 #: Blocks nested deeper than that are read into the block at that depth, each still a line of its own.
 DEPTH = 200
 
-#: Child pairs that an alignment may weigh; longer lists are aligned in their order.
+#: Child pairs whose matches an alignment keeps at once; longer lists are aligned row by row, with the same result.
 CELLS = 250_000
+#: Choices that such an alignment keeps at once, a byte each.
+CHOICES = 1 << 24
 
 
 class Node:
@@ -113,9 +117,60 @@ def nodes(root: Node):
         stack.extend(reversed(node.blocks))
 
 
+def _aligned(xs, ys, weigh) -> tuple[int, list]:
+    """Weight and pairs of the best alignment of two long lists of children. A row of weights is made at a time; choices are kept for
+    one block of rows, and of the blocks before only the last row of sums, from which their choices are worked out again."""
+    codes: dict[str, int] = {}
+    labels = np.array([codes.setdefault(q[1], len(codes)) for q in ys])
+    texts, inner = np.array([q[2] for q in ys]), [j for j, q in enumerate(ys) if q[3]]
+
+    def weights(p):
+        same = labels == codes.get(p[1], -1)
+        out = same.astype(np.int32)
+        if p[2]:
+            out += same & (texts == p[2])
+        if p[3]:
+            for j in inner:
+                if same[j]:
+                    out[j] = weigh(p, ys[j])[0]
+        return out
+
+    def below(last, row):
+        line = np.zeros_like(last)
+        np.maximum(last[1:], last[:-1] + row, out=line[1:])
+        return np.maximum.accumulate(line)
+
+    step = max(1, CHOICES // len(ys))
+    starts = range(0, len(xs), step)
+    borders = [np.zeros(len(ys) + 1, np.int32)]
+    for low in starts[:-1]:
+        line = borders[-1]
+        for p in xs[low: low + step]:
+            line = below(line, weights(p))
+        borders.append(line)
+    total, j, chosen = None, len(ys), []
+    for low, line in zip(reversed(starts), reversed(borders), strict=True):
+        choices = []
+        for p in xs[low: low + step]:
+            row, last = weights(p), line
+            line = below(last, row)
+            paired = (row > 0) & (line[1:] == last[:-1] + row)
+            choices.append(np.where(paired, 2, line[1:] == last[1:]).astype(np.uint8))
+        total = int(line[-1]) if total is None else total
+        i = len(choices)
+        while i and j:
+            choice = choices[i - 1][j - 1]
+            if choice == 2:
+                chosen.append((xs[low + i - 1], ys[j - 1]))
+            i, j = i - (choice > 0), j - (choice != 1)
+    return total, [pair for p, q in reversed(chosen) for pair in weigh(p, q)[1]]
+
+
 def matching(a, b) -> list[tuple[int, int]]:
     """Pairs of node numbers of the largest order-preserving match of two trees (simple tree matching). A node is (number, label,
     text, children); labels must be the same, same texts count as a node more."""
+    long: dict[tuple[int, int], tuple[int, list]] = {}
+
     def weigh(x, y) -> tuple[int, list]:
         if x[1] != y[1]:
             return 0, []
@@ -124,10 +179,12 @@ def matching(a, b) -> list[tuple[int, int]]:
             return gain, [(x[0], y[0])]
         xs, ys = x[3], y[3]
         pairs = [(x[0], y[0])]
-        # What agrees at both ends is aligned there.
         if len(xs) * len(ys) > CELLS:
-            pairs_of = [weigh(p, q) for p, q in zip(xs, ys, strict=False)]
-            return gain + sum(w for w, _ in pairs_of), pairs + [p for _, own in pairs_of for p in own]
+            # Weighed once, as the list above asks again for the pairs it chose.
+            if (x[0], y[0]) not in long:
+                weight, own = _aligned(xs, ys, weigh)
+                long[x[0], y[0]] = gain + weight, pairs + own
+            return long[x[0], y[0]]
         cells = [[(0, ()) if p[1] != q[1] else weigh(p, q) if p[3] and q[3]
                   else (2 if p[2] and p[2] == q[2] else 1, ((p[0], q[0]),)) for q in ys] for p in xs]
         best = [[0] * (len(ys) + 1)]

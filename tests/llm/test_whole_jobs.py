@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from ledgerlens.llm import nearcopies
+from ledgerlens.llm import nearcopies, trees, wrappers
 
 from test_operators import distance, near_classes
 
@@ -43,3 +43,31 @@ def test_very_short_near_copies_share_a_band():
     for kmers in rng.integers(0, 1 << 64, (12_000, 5), dtype=np.uint64):
         lost += not (nearcopies.sketch(kmers)[:, None] == nearcopies.sketch(kmers[1:])[None, :]).any()
     assert lost == 0
+
+
+def test_long_lists_of_blocks_are_matched_as_short_ones(monkeypatch):
+    rng = random.Random(8)
+
+    def made(depth, number):
+        number[0] += 1
+        return [number[0], rng.choice("pqd"), rng.choice([0, 1, 2, 3]), [made(depth - 1, number) for _ in range(rng.randrange(7))] if depth else []]
+
+    for _ in range(60):
+        a, b = made(3, [0]), made(3, [0])
+        b[1] = a[1]
+        want = trees.matching(a, b)
+        for cells, choices in ((0, 1 << 24), (0, 12), (6, 12)):
+            with monkeypatch.context() as m:
+                m.setattr(trees, "CELLS", cells)
+                m.setattr(trees, "CHOICES", choices, raising=False)
+                assert trees.matching(a, b) == want
+
+
+def test_template_behind_a_long_text(spark):
+    """The sixth block after a list of 700 paragraphs, more or fewer, is the same on every page."""
+    box = "".join(f"<div class=b{i}>Same box {i}</div>" for i in range(6))
+    rows = [(i, f"http://long.example.org/{i}", "<html><body>" + "".join(f"<p>{i} par {n}</p>" for n in range(700 + i)) + box + "</body></html>")
+            for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame).collect()}
+    assert got == {i: "\n".join(f"{i} par {n}" for n in range(700 + i)) for i in range(9)}
