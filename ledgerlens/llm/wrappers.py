@@ -2,12 +2,14 @@
 
 Of each host one page, the least by a hash, is its wrapper's skeleton. Every page is aligned with its host's skeleton by simple tree
 matching, and the votes of all pages are added up by host and skeleton node: how often the node's text stayed the same, and how
-much text that changes it held. Nodes that stay the same are template; of the varying slots the deepest one that holds most of the
+much text that changes it held. Pages of the same possible content (all text but that of blocks named as something else) are copies
+and vote once a host; those of the skeleton's own content do not vote. Nodes that stay the same are template; of the varying slots the deepest one that holds most of the
 varying text is the host's content. Pages are then read through the wrapper: inside the content slot, without template nodes and
 without menus, adverts, forms, notices or reader comments, whose element names and classes give them away. A host of few pages has
 no template, and a page that does not match its wrapper falls back on its own article element or its largest text.
 
-Votes are summed before they are shuffled, so a host with a third of all pages costs one row for each node and batch. Skeletons
+A page's votes are one row of eight bytes a node, dealt by host and content, and are summed before they are shuffled by host, so a
+host with a third of all pages costs one row for each node and batch there. Skeletons
 hold hashes of texts, never texts. A table of skeletons is joined by host; Spark broadcasts it only while its file is small.
 
 Defined results: null and empty pages have empty text; a null url or one without a host is a host of its own name, empty; repeated
@@ -16,11 +18,12 @@ rows and null ids each give a row; broken markup is read as far as it goes; othe
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -34,8 +37,6 @@ from .words import slices
 SAME_SHARE, LEAST_PAGES = 0.6, 5
 #: The content slot holds this share of a host's varying text.
 SLOT_SHARE = 0.6
-#: A page with more of its possible content unchanged is a copy of the skeleton's page and does not vote.
-COPY_SHARE = 0.5
 
 ASIDE_TAGS = frozenset("aside dialog footer form head menu nav".split())
 # Words that classes and ids of such blocks use.
@@ -147,16 +148,19 @@ def _texts(kept) -> dict[int, int]:
     return out
 
 
-def _votes(kept, root: Node) -> list[tuple[int, int, int]]:
-    """(skeleton node, whether its text stayed, characters that changed below it) for one page; none from a copy."""
+def content_hash(root: Node) -> int:
+    """Of the text that may be content; copies of a page have the same."""
+    text = text_of(root, set(), False).encode("utf-8", "replace")
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _votes(kept, texts: dict[int, int], root: Node) -> np.ndarray:
+    """(skeleton node, twice the characters that changed below it, and one more if its text stayed) for one page."""
     pairs = matching(kept, skeleton(root))
     mine = {n.number: n for n in nodes(root)}
-    texts = _texts(kept)
     same = {b for a, b in pairs if texts[a] and texts[a] == _hash(mine[b].own_text())}
-    whole, held = varying(root, set()), varying(root, same)
-    if held.get(0, 0) < (1 - COPY_SHARE) * whole.get(0, 0):
-        return []
-    return [(a, int(b in same), held.get(b, 0)) for a, b in pairs]
+    held = varying(root, same)
+    return np.array([(a, 2 * held.get(b, 0) + (b in same)) for a, b in pairs], "<u4").reshape(-1, 2)
 
 
 def _slot(kept, held: dict[int, int]) -> int | None:
@@ -191,32 +195,54 @@ def induced(pages: DataFrame) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            kept = [json.dumps(skeleton(tree(h)), separators=(",", ":")) for h in _html(batch.column("html"))]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(kept, pa.string())], ["host", "skeleton"])
+            roots = [tree(h) for h in _html(batch.column("html"))]
+            kept = [json.dumps(skeleton(r), separators=(",", ":")) for r in roots]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(kept, pa.string()), pa.array(map(content_hash, roots), pa.int64())],
+                                             ["host", "skeleton", "content"])
 
     least = filled.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html"))
-    skeletons = stored(least.mapInArrow(keep, "host string, skeleton string"))
+    skeletons = stored(least.mapInArrow(keep, "host string, skeleton string, content long"))
 
     def vote(batches):
-        known: dict[str, list] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
-            sums: dict[tuple[str, int], Counter] = {}
             for part in slices(batch, "html"):
-                for host, html, kept in zip(*(part.column(c).to_pylist() for c in ("host", "html", "skeleton")), strict=True):
+                found: dict[tuple[str, int], bytes] = {}
+                for host, html, kept, own in zip(*(part.column(c).to_pylist() for c in ("host", "html", "skeleton", "content")), strict=True):
+                    root = tree(html)
+                    if (content := content_hash(root)) == own:
+                        continue
                     if host not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[host] = json.loads(kept)
-                    for node, same, chars in _votes(known[host], tree(html)):
-                        sums.setdefault((host, node), Counter()).update(seen=1, same=same, chars=chars)
-            rows = [(h, n, c["seen"], c["same"], c["chars"]) for (h, n), c in sums.items()]
+                        kept = json.loads(kept)
+                        known[host] = kept, _texts(kept)
+                    votes = _votes(*known[host], root).tobytes()
+                    found[host, content] = min(found.get((host, content), votes), votes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64()), pa.array(found.values(), pa.binary())],
+                    ["host", "content", "votes"])
+
+    def add(batches):
+        for batch in batches:
+            sums: dict[str, dict[int, list[int]]] = {}
+            for host, votes in zip(batch.column("host").to_pylist(), batch.column("votes").to_pylist(), strict=True):
+                of_host = sums.setdefault(host, {})
+                for node, what in np.frombuffer(votes, "<u4").reshape(-1, 2).tolist():
+                    seen = of_host.setdefault(node, [0, 0, 0])
+                    seen[0] += 1
+                    seen[1] += what & 1
+                    seen[2] += what >> 1
+            rows = [(h, n, *seen) for h, of_host in sums.items() for n, seen in of_host.items()]
             types = [pa.string(), *[pa.int64()] * 4]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                                                  ["host", "node", "seen", "same", "chars"])
 
-    votes = (filled.select("host", "html").join(skeletons, "host")
-             .mapInArrow(vote, "host string, node long, seen long, same long, chars long")
+    # Of copies that differ outside of their content the least votes count, whatever the order of rows.
+    once = (filled.select("host", "html").join(skeletons, "host").mapInArrow(vote, "host string, content long, votes binary")
+            .groupBy("host", "content").agg(F.min("votes").alias("votes")).select("host", "votes"))
+    votes = (once.mapInArrow(add, "host string, node long, seen long, same long, chars long")
              .groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("seen", "same", "chars"))))
     # A skeleton's nodes are one page's.
     per_host = votes.groupBy("host").agg(F.collect_list(F.struct("node", "seen", "same", "chars")).alias("votes"))

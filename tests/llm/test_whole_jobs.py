@@ -71,3 +71,15 @@ def test_template_behind_a_long_text(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame).collect()}
     assert got == {i: "\n".join(f"{i} par {n}" for n in range(700 + i)) for i in range(9)}
+
+
+def test_boilerplate_longer_than_the_articles_is_template(spark):
+    """Neutral names, 400 characters of template around shorter articles; copies of one article do not make it template."""
+    words = "".join(f"<div class=b{i}>{f'Same words {i} ' * 8}</div>" for i in range(4))
+    page = "<html><body>" + words + "<div class=x><p>{0} first words of it<p>{0} second and last words</div></body></html>"
+    rows = [(i, f"http://short.example.org/{i}", page.format(i)) for i in range(12)]
+    rows += [(100 + i, f"http://short.example.org/copy{i}", page.format(i // 30) + f"<nav>{i}</nav>") for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    text = "{0} first words of it\n{0} second and last words".format
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame).collect()}
+    assert got == {i: text(i if i < 100 else (i - 100) // 30) for i, _, _ in rows}
