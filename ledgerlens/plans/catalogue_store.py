@@ -566,16 +566,16 @@ def committee_score(spark, sf_dir):
             .withColumn("ranks_well", well))
 
 
-@query(f"""with {_SPLIT}, n as (select count(*) c from z where part = 'test')
-select least(c, 100) as rows, least(c, 100) explained, 0 unparsed, 0 unordered from n""")
-def explain_top3(spark, sf_dir):
-    """ML-24, SC-18, SC-20, SC-21, TOP-6: the three largest pushes of the hundred riskiest transfers in words: each explanation's
-    pushes add up to the score, each line parses back, and weights fall."""
+def _scored_tests(spark, sf_dir):
+    """The committee, and the later transfers with their features and scores."""
     fitted, parts = _committee(spark, sf_dir)
-    rows = (model.score(fitted, parts.filter("part = 'test'"))
-            .select("transaction_id", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("features"), "ml_score")
-            .orderBy(F.desc("ml_score"), "transaction_id").limit(100).withColumn("ml_score", F.bround("ml_score", 4)))
-    told = model.explain_holds(fitted, rows.withColumn("decision", F.lit("REVIEW")))
+    return fitted, (model.score(fitted, parts.filter("part = 'test'"))
+                    .select("transaction_id", F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("features"), "ml_score"))
+
+
+def _explained(fitted, rows):
+    """How many of the rows are explained, and how often the text does not parse back or weights do not fall."""
+    told = model.explain_holds(fitted, rows.withColumns({"ml_score": F.bround("ml_score", 4), "decision": F.lit("REVIEW")}))
     lines = phrases.split_phrases(F.col("explanation"))
     weights = F.transform(lines, lambda p: p["weight"])
     return told.agg(
@@ -584,6 +584,22 @@ def explain_top3(spark, sf_dir):
         F.count_if(weights != F.sort_array(weights, False)).alias("unordered"))
 
 
+@query(f"""with {_SPLIT}, n as (select count(*) c from z where part = 'test')
+select c as rows, c explained, 0 unparsed, 0 unordered from n""")
+def explain_every(spark, sf_dir):
+    """ML-24, SC-18, SC-20, SC-21, TOP-6: the three largest pushes of every later transfer in words, so of each that is held."""
+    return _explained(*_scored_tests(spark, sf_dir))
+
+
+@query(f"""with {_SPLIT}, n as (select count(*) c from z where part = 'test')
+select least(c, 100) as rows, least(c, 100) explained, 0 unparsed, 0 unordered from n""")
+def explain_top3(spark, sf_dir):
+    """ML-24, SC-18, SC-20, SC-21, TOP-6: the three largest pushes of the hundred riskiest transfers in words: each explanation's
+    pushes add up to the score, each line parses back, and weights fall."""
+    fitted, rows = _scored_tests(spark, sf_dir)
+    return _explained(fitted, rows.orderBy(F.desc("ml_score"), "transaction_id").limit(100))
+
+
 @query(f"""with {ALL}, q as (select *, row_number() over (order by us, tid) - 1 position, count(*) over () whole from r),
 z as (select *, case when position < floor(floor(whole * 0.8) * 0.8) then 'fit' when position < floor(whole * 0.8) then 'tune' else 'test' end part from q),
 b as (select round(raw, 4) / 2 score from z where part = 'tune' and round(raw, 4) / 2 < 0.4)
