@@ -128,11 +128,11 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     x, y = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
     if not x or not y:
         return max(len(x), len(y))
-    found = _few_edits(x, y, min(most, FEW))
+    found = few_edits(x, y, min(most, FEW))
     return found if found is not None or most <= FEW else _many_edits(x, y, most)
 
 
-def _few_edits(x: list, y: list, most: int) -> int | None:
+def few_edits(x: list, y: list, most: int) -> int | None:
     """Furthest places on the diagonals of a band that widens by one with each edit."""
     n, m = len(x), len(y)
     reach = {0: 0}  # furthest place in x on diagonal (place in y - place in x)

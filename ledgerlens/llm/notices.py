@@ -3,7 +3,7 @@
 The words of a text, joined by single blanks, are searched once. A notice that may differ by `edits` characters is split into
 edits + 1 parts: whatever lies within that distance holds one of them unchanged. An Aho-Corasick automaton finds the parts, and
 only the surroundings they point to are matched by the regex library with that bound of errors, which verifies the edits and gives
-the span.
+the span; borders of words are part of the pattern, so edits at either end are spent on whole words.
 
 Defined results: null and empty texts have no words, places or labels and score 0; repeated rows and null ids each give a row;
 other columns are not read. Of overlapping matches of one notice the first from the left counts.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .nearcopies import few_edits
 from .rows import KEY, kind, named
 from .tokens import raw
 from .words import SPACED, slices
@@ -50,7 +51,8 @@ class Notices:
             size = -(-len(words) // (edits + 1))
             for at in range(0, len(words), size):
                 parts.setdefault(words[at: at + size], []).append((n, at))
-            self.patterns.append(regex.compile(rf"(?e)(?:{regex.escape(words, literal_spaces=True)}){{e<={edits}}}"))
+            self.patterns.append(regex.compile(
+                rf"(?e) ((?:{regex.escape(words, literal_spaces=True)}){{e<={edits}}})(?![^ ])"))
         self.parts = ahocorasick.Automaton()
         for part, uses in parts.items():
             self.parts.add_word(part, (len(part), uses))
@@ -63,20 +65,25 @@ class Notices:
             for n, at in uses:
                 _, words, edits = self.notices[n]
                 low = end + 1 - size - at - edits
-                found.setdefault(n, []).append((max(0, low), min(len(text), low + len(words) + 2 * edits)))
+                # One character more shows whether a word ends there.
+                found.setdefault(n, []).append((max(0, low), min(len(text), low + len(words) + 2 * edits + 1)))
+        # The pattern begins with a blank, as the library inserts nothing where a match starts: places are one further on.
+        padded = f" {text}"
         for n, places in sorted(found.items()):
             done = 0
             for low, high in joined(places):
                 low = max(low, done)
-                for match in self.patterns[n].finditer(text, low, high):
-                    start, stop = match.span()
+                for match in self.patterns[n].finditer(padded, low, high + 1):
+                    start, stop = (at - 1 for at in match.span(1))
                     while start < stop and text[start] == " ":
                         start += 1
                     while stop > start and text[stop - 1] == " ":
                         stop -= 1
                     edged = (not start or text[start - 1] == " ") and (stop == len(text) or text[stop] == " ")
                     if edged and stop > start and start >= done:
-                        yield self.notices[n][0], start, stop, sum(match.fuzzy_counts)
+                        # The library's count is not always the least for its span.
+                        label, words, _ = self.notices[n]
+                        yield label, start, stop, few_edits(list(words), list(text[start:stop]), len(words) + stop - start)
                         done = stop
 
 

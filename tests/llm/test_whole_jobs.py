@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from ledgerlens.llm import nearcopies, trees, wrappers
+from ledgerlens.llm import nearcopies, notices, trees, wrappers
 
 from test_operators import distance, near_classes
 
@@ -83,3 +83,13 @@ def test_boilerplate_longer_than_the_articles_is_template(spark):
     text = "{0} first words of it\n{0} second and last words".format
     got = {r["page_id"]: r["text"] for r in wrappers.main_texts(frame).collect()}
     assert got == {i: text(i if i < 100 else (i - 100) // 30) for i, _, _ in rows}
+
+
+def test_notices_with_letters_more_at_either_end():
+    search = notices.Notices()
+    for label, phrase, edits in notices.NOTICES:
+        for n in range(edits + 1):
+            for changed in ("x" * n + phrase, phrase + "x" * n, "x" * (n // 2) + phrase + "x" * (n - n // 2)):
+                text = f"some words here {changed} and more of them"
+                assert (label, 16, 16 + len(changed), n) in list(search.spans(text)), text
+    assert not [s for s in search.spans("creative commons attributionsxx") if s[0] == "cc-by"]
