@@ -5,8 +5,9 @@ The index holds, for each term that queries ask for, its postings with their imp
 terms are ordered by maximum, and neighbours in that order are paired: a pair's intersection list has the greatest sum of both
 impacts in one document, so the pair adds at most the greatest of that and the two single maxima, where independent maxima would
 add up both. The longest run of least terms whose combined bound stays below the threshold is left out of the search: a document
-with only those cannot be an answer. Documents of the other terms are candidates, those whose partial sum and the bound of the rest
-reach the threshold are scored in full, and the k best are returned. Bounds only skip: the answer is that of scoring everything.
+with only those cannot be an answer. Documents of the other terms are candidates. The least terms, whose combined bound is below
+`LAST_SHARE` of the threshold, are the frequent ones: they are added to those candidates only that can reach the threshold by what
+their other terms come to and that bound. The k best are returned. Bounds only skip: the answer is that of scoring everything.
 
 Only a document's counts are made in Python, a text at a time; terms are told apart as text. Postings of a frequent term meet
 the queries that need it in a join that is broadcast or split by size; nothing of a term or a query goes through one task, and
@@ -39,6 +40,8 @@ CHAMPIONS = 10
 #: Pairs have an intersection list if the rarer term is in this share of the documents at most; others are bounded by their sum.
 PAIR_SHARE = 1 / 64
 FILTER_BITS = 1 << 23
+#: Terms whose combined bound stays below this share of the threshold are added last, to candidates that can still make it up.
+LAST_SHARE = 0.5
 #: Bytes of a text that are split into words at once.
 _PIECE = 1 << 20
 
@@ -118,8 +121,8 @@ def _joint(pairs: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def plan(wanted: DataFrame, thresholds: DataFrame, postings: DataFrame, pair_df: int) -> DataFrame:
-    """item, tid, essential, and for the item need (what a candidate's essential terms must add up to), of each row of `wanted` (item,
-    tid, df, most); thresholds: item, threshold (0 if it has no row)."""
+    """item, tid, essential, last, and for the item need (what a candidate's terms other than the last must add up to), of each row of
+    `wanted` (item, tid, df, most); thresholds: item, threshold (0 if it has no row)."""
     order = Window.partitionBy("item").orderBy("most", "tid")
     placed = stored(wanted.withColumn("place", F.row_number().over(order)).withColumn("pair", F.shiftright(F.col("place") - 1, 1)))
     # The two of a pair as one row, the rarer first.
@@ -138,9 +141,10 @@ def plan(wanted: DataFrame, thresholds: DataFrame, postings: DataFrame, pair_df:
     upto = F.col("before") + F.when(first, F.col("most")).otherwise(F.col("bound"))
     told = (placed.join(bounds, ["item", "pair"]).join(thresholds, "item", "left")
             .withColumn("threshold", F.coalesce("threshold", F.lit(0))).withColumn("upto", upto))
-    whole = Window.partitionBy("item")
-    rest = F.coalesce(F.max(F.when(F.col("upto") < F.col("threshold"), F.col("upto"))).over(whole), F.lit(0))
-    return told.select("item", "tid", (F.col("upto") >= F.col("threshold")).alias("essential"), (F.col("threshold") - rest).alias("need"))
+    last = F.col("upto") < F.col("threshold") * LAST_SHARE
+    rest = F.coalesce(F.max(F.when(last, F.col("upto"))).over(Window.partitionBy("item")), F.lit(0))
+    return told.select("item", "tid", (F.col("upto") >= F.col("threshold")).alias("essential"), last.alias("last"),
+                       (F.col("threshold") - rest).alias("need"))
 
 
 def search(docs: DataFrame, queries: DataFrame, best: int = BEST, id_column: str = "doc_id", text_column: str = "text",
@@ -164,9 +168,13 @@ def search(docs: DataFrame, queries: DataFrame, best: int = BEST, id_column: str
 
     documents = texts.count()
     planned = stored(plan(wanted, thresholds, postings, int(documents * PAIR_SHARE)))
-    partial = (planned.filter("essential").join(postings, "tid").groupBy("item", "row", "need").agg(F.sum("impact").alias("part")))
-    candidates = stored(partial.filter("part >= need").select("item", "row"))
-    scored = _scores(candidates, slim, postings).filter("score > 0").join(texts, "row")
+    partial = (planned.filter(~F.col("last")).join(postings, "tid").groupBy("item", "row", "need")
+               .agg(F.sum("impact").alias("impact"), F.max("essential").alias("essential")))
+    candidates = stored(partial.filter("essential and impact >= need").select("item", "row", "impact"))
+    rest = (candidates.select("item", "row").join(planned.filter("last").select("item", "tid"), "item").join(postings, ["row", "tid"])
+            .select("item", "row", "impact"))
+    scored = (candidates.unionByName(rest).groupBy("item", "row").agg(F.sum("impact").alias("score"))
+              .filter("score > 0").join(texts, "row"))
     last = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "row")
     return (scored.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= best)
             .join(asked.select("item", "item_id"), "item").select("item_id", "rank", "doc_id", "score"))
