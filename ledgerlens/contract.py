@@ -64,7 +64,7 @@ def with_keys(rows: DataFrame, profile: Profile = FULL) -> DataFrame:
 
 
 def to_transfers(events: DataFrame, profile: Profile = FULL) -> DataFrame:
-    """Usable wire events as transfers: typed, stamped, keyed. Other columns are left behind."""
+    """Usable wire events as transfers: typed, stamped, keyed. Other columns but `arrived` are left behind."""
     optional = {"receiver_pinfl": "string", "ingested_at": "double", "ingress_hash": "string",
                 "label_is_fraud": "int", "label_fraud_type": "string"}
     get = lambda c: (F.col(c) if c in events.columns else F.lit(None)).cast(optional[c])
@@ -79,5 +79,6 @@ def to_transfers(events: DataFrame, profile: Profile = FULL) -> DataFrame:
         scalars.truthy(F.col("active_call")).alias("active_call"),
         scalars.number_or(F.col("secs_login_to_confirm"), 0.0).alias("secs_login"),
         get("ingested_at").alias("ingested_at"), get("ingress_hash").alias("ingress_hash"),
-        get("label_is_fraud").alias("label"), get("label_fraud_type").alias("label_type"))
+        get("label_is_fraud").alias("label"), get("label_fraud_type").alias("label_type"),
+        *[c for c in ("arrived",) if c in events.columns])
     return with_keys(rows, profile)

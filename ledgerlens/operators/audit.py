@@ -69,6 +69,12 @@ def chains_for(records: int, least: int = 8) -> int:
     return max(least, -(-records // CHAIN_RECORDS))
 
 
+def chain_ends(log: DataFrame) -> DataFrame:
+    """chain_id, seq and record_hash of each chain's last record."""
+    return log.groupBy("chain_id").agg(F.max_by("record_hash", "seq").alias("record_hash"), F.max("seq").alias("seq")).select(
+        "chain_id", "seq", "record_hash")
+
+
 def append_chain(core: DataFrame, order: list[str], chains: int = 1,
                  tails: DataFrame | None = None) -> DataFrame:
     """`core` with chain_id, seq, prev_hash and record_hash, going on from each chain's tail.
@@ -81,8 +87,7 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
     if tails is None:
         rows = rows.withColumns({"_from": F.lit(0).cast("bigint"), "start_hash": F.lit(GENESIS)})
     else:
-        ends = tails.groupBy("chain_id").agg(F.max("seq").alias("_seq"),
-                                             F.max_by("record_hash", "seq").alias("_hash"))
+        ends = chain_ends(tails).select("chain_id", F.col("seq").alias("_seq"), F.col("record_hash").alias("_hash"))
         rows = rows.join(ends, "chain_id", "left").withColumns({
             "_from": F.coalesce(F.col("_seq") + 1, F.lit(0).cast("bigint")),
             "start_hash": F.coalesce("_hash", F.lit(GENESIS))}).drop("_seq", "_hash")

@@ -13,6 +13,11 @@ CASE_COLUMNS = ["case_id", "transaction_id", "event_time", "opened_at", "sender_
                 "amount_uzs", "final_score", "decision", "predicted_type", "rule_hits", "disposition",
                 "resolved_by", "resolved_at", "version", "explanation", "explanation_status",
                 "model_version", "ml_score"]
+#: Their types.
+CASE_ROWS = ("case_id string, transaction_id string, event_time timestamp, opened_at timestamp, sender_card string, receiver_card string, "
+             "amount_uzs bigint, final_score double, decision string, predicted_type string, rule_hits array<string>, disposition string, "
+             "resolved_by string, resolved_at timestamp, version bigint, explanation array<string>, explanation_status string, "
+             "model_version string, ml_score double")
 #: What the intervals of confirmed accounts read of a case version.
 CASE_VERSIONS = "case_id string, receiver_card string, version bigint, resolved_at timestamp, disposition string"
 TERMINAL = [d for d in S.DISPOSITIONS if d != "NEW"]

@@ -185,14 +185,17 @@ def with_payee_features(rows: DataFrame, confirmed: DataFrame | None, census: Ce
         "run_payers_7d": _window_distinct(END_7D), "run_new": _window_sum("new", END_24H),
         "run_flagged": _steps(FLAG), "run_contacts": _steps(CONTACT)},
         cut(line, ["account"]))
-    # A transfer without a payee key has no payee's side to read.
-    seen = lambda step: f"if(account <> '', run_{step}, 0)"
-    of = {"rcv_distinct_senders_1h": seen("payers_1h"), "rcv_inflow_1h": f"log1p({seen('in_1h')} / 100D)",
-          "payee_inflow_24h": f"log1p({seen('in_24h')} / 100D)", "payee_payers_24h": seen("payers_24h"),
-          "payee_payers_7d": seen("payers_7d"), "payee_new_payers_24h": seen("new"),
-          "payee_flagged": f"cast({seen('flagged')} > 0 as int)", "payee_flagged_contacts": seen("contacts")}
     return line.filter("transfer is not null").selectExpr(
-        "transfer.*", *[f"{e} {n}" for n, e in of.items() if n in wanted]).drop("prev_gap", "next_gap", "payer_ever")
+        "transfer.*", *[f"{e} {n}" for n, e in payee_columns().items() if n in wanted]).drop("prev_gap", "next_gap", "payer_ever")
+
+
+def payee_columns() -> dict[str, str]:
+    """Feature -> SQL over the paid account's running measures; a transfer without a payee key has no payee's side to read."""
+    seen = lambda step: f"if(account <> '', run_{step}, 0)"
+    return {"rcv_distinct_senders_1h": seen("payers_1h"), "rcv_inflow_1h": f"log1p({seen('in_1h')} / 100D)",
+            "payee_inflow_24h": f"log1p({seen('in_24h')} / 100D)", "payee_payers_24h": seen("payers_24h"),
+            "payee_payers_7d": seen("payers_7d"), "payee_new_payers_24h": seen("new"),
+            "payee_flagged": f"cast({seen('flagged')} > 0 as int)", "payee_flagged_contacts": seen("contacts")}
 
 
 def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFrame | None,
@@ -258,7 +261,7 @@ def with_sender_features(rows: DataFrame, credits: DataFrame, confirmed: DataFra
     line = line.filter("transfer is not null").drop("money", "prev_gap", "next_gap", "band", "new")
     if prior is not None:
         line = _after_prior(line, prior)
-    mine = {n: e for n, e in _sender_columns().items() if n in wanted}
+    mine = {n: e for n, e in sender_columns().items() if n in wanted}
     keep = [c for c in rows.columns if c not in
             ("region_here", "region_count", "region_first", "prev_gap", "next_gap", "pair_ever")]
     return (line.select("*", "transfer.*")
@@ -281,7 +284,7 @@ def _after_prior(line: DataFrame, prior: Prior) -> DataFrame:
                          if not c.startswith("_c_")])
 
 
-def _sender_columns() -> dict[str, str]:
+def sender_columns() -> dict[str, str]:
     """Feature -> SQL over the running measures and the transfer's own columns."""
     moved = "(last_place is not null and region_here <> '' and region_here <> last_place.region)"
     since = f"((event_us - last_place.us) / {US}D)"

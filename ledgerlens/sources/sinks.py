@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import settings as S
 from ..functions import scalars
-from ..operators.audit import append_chain, audit_core
+from ..operators.audit import append_chain, audit_core, chain_ends
 from ..operators.cases import open_cases
 from ..plans.dashboards import stage_columns
 
@@ -61,6 +61,13 @@ def read_table(spark: SparkSession, root: str, table: str, schema=None) -> DataF
     return (reader.schema(schema) if schema else reader).parquet(f"{root}/{table}")
 
 
+def read_batch(spark: SparkSession, root: str, table: str, batch_id: int | str) -> DataFrame | None:
+    """One batch of a table, or None if it was not written whole."""
+    path = f"{root}/{table}/batch={batch_id}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done) else None
+
+
 def store_decisions(records: DataFrame, root: str, batch_id: int, audit_all: bool = True, chains: int = 1,
                     source: str = "") -> None:
     """One batch of decisions into every table: decisions, the audit chain going on from its stored
@@ -70,17 +77,40 @@ def store_decisions(records: DataFrame, root: str, batch_id: int, audit_all: boo
     batch = f"{source}{batch_id}"
     write_batch(scored_rows(records), root, "decisions", batch, "event_time", ["event_time", "transaction_id"])
     audited = records if audit_all else records.filter(F.col("decision") == "REVIEW")
-    log = read_table(spark, root, "audit" + source)
-    tails = None
-    if log is not None:
-        # The batch's own earlier try is not part of the chain it goes on from.
-        tails = log.filter(F.col("batch") < batch_id).select("chain_id", "seq", "record_hash")
-    write_batch(append_chain(audit_core(audited), ["event_time", "transaction_id"], chains, tails),
-                root, "audit" + source, batch_id)
+    log, ends = "audit" + source, "audit_tails" + source
+    tails = newest_before(spark, root, ends, batch_id)
+    if tails is None and batch_id and (before := read_table(spark, root, log)) is not None:
+        # A log from before tails were kept. The batch's own earlier try is not part of the chain it goes on from.
+        tails = chain_ends(before.filter(F.col("batch") < batch_id))
+    write_batch(append_chain(audit_core(audited), ["event_time", "transaction_id"], chains, tails), root, log, batch_id)
+    grown = chain_ends(spark.read.parquet(f"{root}/{log}/batch={batch_id}"))
+    write_batch(chain_ends(grown if tails is None else tails.unionByName(grown)), root, ends, batch_id)
+    forget_before(spark, root, ends, batch_id)
     write_batch(open_cases(records), root, "cases", batch)
     write_batch(records.filter(F.col("decision") == "SECOND_LOOK"), root, "second_look", batch)
 
 
+def newest_before(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame | None:
+    """The newest batch of a table before this one: its folder alone is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path)
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    newest = max((n for n in done if n < batch_id), default=None)
+    return None if newest is None else spark.read.parquet(f"{root}/{table}/batch={newest}")
+
+
+def forget_before(spark: SparkSession, root: str, table: str, batch_id: int, keep: int = 2) -> None:
+    """Delete a table's batches but the `keep` newest up to this one, which later batches go on from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {int(f.getPath().getName().split("=")[1]): f.getPath() for f in fs.listStatus(path)}
+    for n in sorted(n for n in found if n <= batch_id)[:-keep]:
+        fs.delete(found[n], True)
+
+
 # The columns of a retrain run, in order.
 RUN_COLUMNS = {"run_at": "timestamp", "outcome": "string", "logged": "bigint", "known_fraud": "bigint",
                "settling": "bigint", "deciding_fraud": "bigint", "served_alerts": "bigint",
