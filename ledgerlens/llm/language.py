@@ -1,14 +1,19 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary of its own, made of a bounded sample of labelled documents: `SAMPLE_ROWS`
-documents a language at most, drawn by hash, `SAMPLE_CHARS` characters of each (bounds of the fit only; every text is
-classified whole). A text is compressed with every dictionary, and the smallest result names its language. Case, digits and
-punctuation are left out on both sides. The score is the share that the smallest saves against the second smallest.
+Each language has a zstandard raw-content dictionary of its own, made of a bounded sample of labelled documents. A text is cut into
+blocks of `BLOCK_BYTES`; each is compressed with every dictionary, and the language whose blocks come to the least bytes is the
+text's. So the whole text counts, no block is out of a dictionary's reach, and a text ten times as long has the same shares. All
+languages have the same parameters (window, tables, strategy), whatever the size of their dictionaries. Case, digits and punctuation
+are left out on both sides. The score is the share that the least saves against the second.
+
+Bounds, of the fit only: `SAMPLE_ROWS` documents a language, drawn by hash, `SAMPLE_CHARS` characters of each, `DICTIONARY_BYTES` of
+those together, and dictionaries of one size: that of the smallest, or `LEAST_BYTES` if that is more. More than `LANGUAGES` labels are
+refused, as a text's cost grows with them.
 
 Defined results: `und`, score 0 and rejected for null or empty texts and those without a letter, and for all texts when no row is
-labelled; equal sizes go to the language that is first in order. Repeated rows and null ids each give a row; a null id is neither
-held out nor learned from. Texts whose results are shorter than `SHORT` bytes are never rejected for a narrow margin, as one byte
-more or less is a wide one there. Only doc_id, text and lang are read, and lang only to learn.
+labelled; equal sizes go to the language that is first in order and are rejected, at any length. A text is rejected too if the least
+is less than `MARGIN` of the second below it; where that is under a byte, any byte will do. Repeated rows and null ids each give a
+row; a null id is neither held out nor learned from. Only doc_id, text and lang are read, and lang only to learn.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ from .words import slices
 SAMPLE_ROWS = 256
 SAMPLE_CHARS = 2048
 DICTIONARY_BYTES = 1 << 18
+LEAST_BYTES = 1 << 15
+BLOCK_BYTES = 1 << 14
+LANGUAGES = 256
 LEVEL = 9
 MARGIN = 0.002
-SHORT = 100
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -44,16 +51,19 @@ def fold(docs: DataFrame):
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """What each language's sample holds, at most DICTIONARY_BYTES; the sample is all that reaches the driver.
+    """What each language's sample holds, all of one size; the sample is all that reaches the driver.
 
     Rows are drawn by hash, twice as many as wanted by the language's count, before the first of them are ranked: what is ranked
     does not grow with the table.
     """
     labelled = (docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
                 .filter(F.col("lang").isNotNull() & (fold(docs) != 0)))
-    counts = {r["lang"]: r["rows"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    counts = {r["lang"]: r["rows"] for r in
+              labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(LANGUAGES + 1).collect()}
     if not counts:
         return {}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     rows = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
     drawn = (labelled.withColumn("hash", F.xxhash64("doc_id", "text"))
              .filter((F.pmod("hash", F.lit(1 << 40)) / float(1 << 40)) * rows <= 2 * SAMPLE_ROWS)
@@ -65,16 +75,21 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     texts: dict[str, list[str]] = {}
     for row in sorted(sample, key=lambda r: (r["lang"], r["place"])):
         texts.setdefault(row["lang"], []).append(plain(row["text"]))
-    return {lang: " ".join(t).encode("utf-8", "replace")[:DICTIONARY_BYTES] for lang, t in texts.items()}
+    joined = {lang: " ".join(t).encode("utf-8", "replace")[:DICTIONARY_BYTES] for lang, t in texts.items()}
+    size = max(LEAST_BYTES, min(map(len, joined.values()), default=0))
+    return {lang: content[:size] for lang, content in joined.items()}
 
 
 def _compressors(learned: dict[str, bytes]):
     import zstandard
+    # Of the largest dictionary and a block: left to the library, these follow from each dictionary's own size.
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=DICTIONARY_BYTES + BLOCK_BYTES, write_content_size=False,
+                                                            write_dict_id=False)
     made = []
     for lang in sorted(learned):
         content = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=LEVEL)
-        made.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False)))
+        content.precompute_compress(compression_params=params)
+        made.append((lang, zstandard.ZstdCompressor(dict_data=content, compression_params=params)))
     return made
 
 
@@ -84,12 +99,12 @@ def _told(text: bytes, compressors) -> tuple[str, float, bool]:
     if not compressors or not any(map(str.isalpha, letters)):
         return UNKNOWN, 0.0, True
     letters = letters.encode("utf-8", "replace")
-    sizes = sorted((len(c.compress(letters)), lang) for lang, c in compressors)
+    blocks = [letters[i: i + BLOCK_BYTES] for i in range(0, len(letters), BLOCK_BYTES)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     (best, lang), (second, _) = sizes[:2]
-    score = 1 - best / second
-    return lang, score, score < MARGIN and second >= SHORT
+    return lang, 1 - best / second, second - best < max(1, MARGIN * second)
 
 
 def languages(docs: DataFrame) -> DataFrame:
