@@ -60,19 +60,22 @@ def before_operator(ingested: Column, appended: Column, arrived: Column) -> Colu
     return F.map_filter(stages, lambda _, v: v.isNotNull())
 
 
-def holds_over_time(decisions: DataFrame, cut: float, every: str = "1 minute") -> DataFrame:
-    """Checked and held per interval, and who held: the rules by fraud type, the model, the second
-    look, or no answer from it."""
-    by = held_by(cut)
+def holder(cut: float) -> Column:
+    """Who held a transfer: the rules by fraud type, the model, the second look, or no answer from it; none if nobody did."""
     unscored = F.col("model_version").endswith(S.UNSCORED_SUFFIX)
-    holder = (F.when(F.col("decision") != "REVIEW", "none")
-              .when(by_second_look(F.col("model_version")) & unscored, "no answer")
-              .when(by_second_look(F.col("model_version")), "second look")
-              .when(F.array_contains(by, "RULE"),
-                    F.concat(F.lit("rules: "), F.coalesce("predicted_type", F.lit("other"))))
-              .otherwise("model"))
-    return (decisions.groupBy(F.window("event_time", every).start.alias("minute"), holder.alias("holder"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    return (F.when(F.col("decision") != "REVIEW", "none")
+            .when(by_second_look(F.col("model_version")) & unscored, "no answer")
+            .when(by_second_look(F.col("model_version")), "second look")
+            .when(F.array_contains(held_by(cut), "RULE"), F.concat(F.lit("rules: "), F.coalesce("predicted_type", F.lit("other"))))
+            .otherwise("model"))
+
+
+def holds_over_time(decisions: DataFrame, cut: float, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Checked and held per interval, and who held. On a stream a decision counts if it is no later than `late`."""
+    if decisions.isStreaming:
+        decisions = decisions.withWatermark("event_time", late)
+    return (decisions.groupBy(F.window("event_time", every), holder(cut).alias("holder")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("window.start").alias("minute"), "holder", "n"))
 
 
 def second_look_panel(decisions: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame
             .select("value", F.current_timestamp().alias("arrived")))
 
 
+#: What the panels read of a scored record.
+SCORED = ("transaction_id string, event_time timestamp, decision string, predicted_type string, model_version string, ml_score double, "
+          "final_score double, rule_hits array<string>, scored_at_job double")
+
+
+def scored_stream(lines: DataFrame) -> DataFrame:
+    """Decision records from the lines (`value`) of the scored topic. A line that is no record is left out."""
+    return lines.select(F.from_json("value", SCORED).alias("r")).select("r.*").filter("transaction_id is not null and event_time is not null")
+
+
 def fingerprint(rows: DataFrame, columns: list[str]) -> str:
     """What a materialised matrix was built from: its columns and its input's content, as a sum of
     row hashes that no order or partitioning changes."""
