@@ -3,16 +3,16 @@
 A text's k-mers are its runs of five words, labelled with their occurrence so that repeats count. Each of `BANDS` hash functions
 picks the `PICKS` least of them and keeps those k-mers in the order of the text: two texts agree there only if they share the
 k-mers and their order. Texts of the same words are one from the start. Texts that agree in a band are candidates, and a pair is
-verified on its words: Jaccard similarity of the sets of five-word runs of 0.8 or more, and an edit similarity of 0.8 or more by an
-exact alignment: a paragraph that moved is edits as any other.
+verified on its words by an exact alignment alone: an edit similarity of 0.8 or more. A paragraph that moved is edits as any other.
+Pairs that share less than `SHARED` of their five-word runs are not aligned.
 
 No pairs of a whole group are emitted. First every text of a bucket is verified with one, that which agrees most with others
 anywhere; linked texts are one class by then. Where a bucket still holds several classes, its texts are compared block by block in
 tiles of bounded size, by one product of incidence matrices a tile, and only pairs that join two classes are aligned and emitted.
 
-At similarity 0.8 a pair misses a band with probability 0.67, and all of them in about 3 of a million cases; short texts, for which
-the picks use up the k-mers, have more bands of fewer picks. Texts of four and five k-mers agree in such bands only, 16 of them, each
-missed with 0.4: fewer than one in a million is lost.
+Edits take five-word runs with them: texts of edit similarity 0.95 share 0.6 of their runs or more, and miss all bands in 4 of 10,000
+cases; where edits are spread as evenly as at 0.9 (0.42 shared), in one of 12. Short texts, for which the picks use up the k-mers,
+have more bands of fewer picks, so that texts of four and five k-mers are lost in fewer than one of a million cases.
 
 Defined results: texts without words (null and empty ones too) are a class each; texts of fewer than five words are one run; case
 and punctuation make no difference; repeated rows share a class; the class id is the smallest doc_id in it (null if all are null);
@@ -32,7 +32,9 @@ from .words import Words, mixed, runs, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, PICKS = 32, 5
+BANDS, PICKS = 32, 3
+#: Jaccard similarity of five-word runs under which no pair is aligned: what edits of 0.8 leave when they are spread (0.8^5 of the runs).
+SHARED = 0.2
 #: Texts of at most so many k-mers have further bands.
 SHORT, SHORT_BANDS, SHORT_PICKS = 80, 8, 2
 #: And texts of at most so many, more of these: where one of two texts has fewer k-mers than PICKS, only such bands can agree.
@@ -186,7 +188,7 @@ def _many_edits(x: list, y: list, most: int) -> int | None:
 
 def near(a: np.ndarray, b: np.ndarray, shared: int, a_set: int, b_set: int) -> bool:
     """Whether two texts' words are near copies, given how many five-word runs they share of how many."""
-    if shared < SIMILAR * (a_set + b_set - shared) - 1e-9:
+    if shared < SHARED * (a_set + b_set - shared) - 1e-9:
         return False
     return edits(a, b, int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9)) is not None
 
@@ -206,9 +208,6 @@ def _verified(batches):
         good = []
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_words", "b_words")), strict=True):
             (xw, xs), (yw, ys) = of(a, x), of(b, y)
-            if min(len(xs), len(ys)) < SIMILAR * max(len(xs), len(ys)):
-                good.append(False)
-                continue
             shared = len(np.intersect1d(xs, ys, assume_unique=True))
             good.append(near(xw, yw, shared, len(xs), len(ys)))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -231,7 +230,7 @@ def _tile(table: pa.Table) -> pa.Table:
         held[owner[own], which[own] - low] = 1
         shared += held @ held.T
     total = sizes[:, None] + sizes[None, :] - shared
-    i, j = np.nonzero(np.triu(shared >= SIMILAR * total - 1e-4, 1))
+    i, j = np.nonzero(np.triu(shared >= SHARED * total - 1e-4, 1))
     best = np.argsort(-(shared[i, j] / total[i, j]), kind="stable")
     cross = len(set(blocks)) > 1
     parent: dict[int, int] = {}
@@ -257,10 +256,11 @@ def classes(docs: DataFrame) -> DataFrame:
     id_kind, rows = kind(docs), named(docs)
     sketches = stored(rows.mapInArrow(
         _sketches, f"doc_id {id_kind}, text_hash long, n_words long, same1 long, same2 long, bands array<long>"))
-    # One node for all texts of the same words.
-    texts = (sketches.filter("n_words > 0").groupBy("same1", "same2")
-             .agg(F.min(F.struct(*KEY)).alias("key"), F.first("bands").alias("bands")))
-    members = texts.select(F.col("same1").alias("node"), "key", F.explode("bands").alias("bucket"))
+    # One node for all texts of the same words, with a number of its own.
+    texts = stored(sketches.filter("n_words > 0").groupBy("same1", "same2")
+                   .agg(F.min(F.struct(*KEY)).alias("key"), F.first("bands").alias("bands"))
+                   .withColumn("node", F.monotonically_increasing_id()))
+    members = texts.select("node", "key", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(members.join(shared, "bucket"))
     central = members.groupBy("node").agg(F.sum("size").alias("central"), F.min("key").alias("key"))
@@ -289,8 +289,8 @@ def classes(docs: DataFrame) -> DataFrame:
              .join(words, "node").groupBy("bucket", "low", "high").applyInArrow(_tile, "a long, b long"))
     more = stored(tiles.distinct())
     labels = components(links.union(more))
-    labelled = (sketches.drop("bands").join(labels, sketches["same1"] == labels["node"], "left")
-                .withColumn("label", F.coalesce("label", "same1")))
+    named_ = texts.select("same1", "same2", "node").join(labels, "node", "left").select("same1", "same2", F.coalesce("label", "node").alias("label"))
+    labelled = sketches.drop("bands").join(named_, ["same1", "same2"], "left")
     worded = labelled.filter("n_words > 0")
     groups = worded.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
                                          F.min(F.struct(*KEY)).alias("first"))

@@ -5,7 +5,7 @@ import numpy as np
 
 from ledgerlens.llm import nearcopies, notices, trees, wrappers
 
-from test_operators import distance, near_classes
+from test_text_operators import distance, near_classes
 
 def test_near_copies_of_moved_and_repeated_passages(spark):
     rng = random.Random(5)
