@@ -12,7 +12,10 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary "
                   "table tbody td tfoot th thead tr ul".split())
 #: Their content is never text of the page.
-SILENT = frozenset("script style template noscript iframe object svg math title textarea select button canvas audio video".split())
+SILENT = frozenset("script style template noscript iframe svg title textarea select button audio video".split())
+#: Of those, the ones that a block of text does not stand in: where it opens, they were left open.
+LINE = frozenset("svg select button".split())
+TEXT_BLOCK = frozenset("article aside blockquote dl figure footer h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Opening one of the first ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}}
@@ -51,7 +54,9 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "br" and not self.silent:
             self.open[-1].kids.append(" ")
-        if tag in SILENT:
+        if self.silent and tag in TEXT_BLOCK and all(t in LINE for t in self.silent if t in SILENT):
+            self.silent = []
+        if tag in SILENT or (self.silent and tag in BLOCK and tag not in VOID):
             self.silent.append(tag)
         if self.silent or tag not in BLOCK:
             return
@@ -77,8 +82,13 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if self.silent:
             if tag in self.silent:
-                del self.silent[self.silent.index(tag):]
-            return
+                at = len(self.silent) - 1 - self.silent[::-1].index(tag)
+                del self.silent[at:]
+                return
+            # The end of a block around it: the silent element was left open.
+            if tag not in BLOCK or all(n.tag != tag for n in self.open):
+                return
+            self.silent = []
         if tag in BLOCK:
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag == tag:

@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +45,32 @@ ASIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
     "header masthead menu nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing "
     "sidebar social sponsor sponsored subscribe toolbar".split())
+#: Words that only say what kind of box stands there.
+PART_WORDS = frozenset("area bar block body bottom box button buttons container content count group inner item items left link links "
+                       "list main module outer page pane panel primary right row secondary section site slot top unit widget wrap "
+                       "wrapper".split())
 ASIDE_ROLES = frozenset("banner complementary contentinfo dialog form navigation search".split())
 MAIN_TAGS = ("article", "main")
 
-_TOKENS = re.compile(r"[a-z0-9]+").findall
+_WORDS = re.compile(r"[a-z]+").findall
+
+
+@lru_cache(maxsize=4096)
+def _named_aside(mark: str) -> bool:
+    """Whether one of an element's names (its classes, id and role) says that it is not the article's: all words of a name must be
+    such words or those of a box, so that neither `related-work` nor `ad-hoc-networks` is one."""
+    for name in mark.split():
+        words = _WORDS(name)
+        if any(w in ASIDE_WORDS or w in ASIDE_ROLES for w in words) and all(w in ASIDE_WORDS or w in ASIDE_ROLES or w in PART_WORDS for w in words):
+            return True
+    return False
 
 
 def aside(node: Node, inside: bool) -> bool:
     """Whether a block is not the article's by its name; `inside` an article, a header is the article's own."""
     if node.tag in ASIDE_TAGS or (node.tag == "header" and not inside):
         return True
-    words = set(_TOKENS(node.mark)) if node.mark and node.tag not in ("html", "body", *MAIN_TAGS) else ()
-    return any(w in ASIDE_WORDS or w in ASIDE_ROLES for w in words)
+    return bool(node.mark) and node.tag not in ("html", "body", *MAIN_TAGS) and _named_aside(node.mark)
 
 
 def _hash(text: str) -> int:
