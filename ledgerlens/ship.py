@@ -26,3 +26,12 @@ def ship(spark: SparkSession) -> None:
                     out.write(file, os.path.relpath(file, os.path.dirname(here)))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def reachable(spark: SparkSession) -> None:
+    """The package for Python that Spark starts on the driver's own machine, as it does to set up a stateful operator: files that are
+    sent to executors do not reach it."""
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if parent not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, parent]))
