@@ -136,9 +136,3 @@ def confirmed_intervals(versions: DataFrame, history: DataFrame | None = None) -
     edges = steps.filter("(held > 0) <> (held - step > 0)")
     edges = running_within(edges, ["account"], ["us"], {"to_us": Next(F.col("us"))})
     return edges.filter("held > 0").select("account", F.col("us").alias("from_us"), "to_us")
-
-
-def held_seconds(now: Column) -> Column:
-    """How long the money was held: until the verdict, or until now without one."""
-    end = F.when(F.col("disposition") == "NEW", now).otherwise(F.unix_micros("resolved_at") / 1e6)
-    return F.greatest(F.lit(0.0), end - F.unix_micros("opened_at") / 1e6)
