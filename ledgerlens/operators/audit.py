@@ -102,42 +102,41 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
 def verify_chain(log: DataFrame, window: int | None = None) -> DataFrame:
     """Findings (chain_id, seq, finding); no row means the log is intact.
 
-    Each link is recomputed where it lies. The link to the record before is an equi-join on the
-    position, not one ordered pass. With `window` only the latest records are read, and the link
-    into the first of them is not checked; without it a chain must begin at genesis.
+    Each link is recomputed where it lies and tells its own place what it found, and the place after it which hash to expect: one
+    shuffle by position brings both together, whatever the length of a chain. With `window` only the latest records are read, and the
+    link into the first of them is not checked; without it a chain must begin at genesis.
     """
     if "chain_id" not in log.columns:
         log = log.withColumn("chain_id", F.lit(0))
     if window is not None:
         newest = log.groupBy("chain_id").agg(F.max("seq").alias("_newest"))
-        log = (log.join(newest, "chain_id").filter(F.col("seq") > F.col("_newest") - window).drop("_newest"))
-    at = ["chain_id", "seq"]
-    finding = lambda c, text: F.when(c, text)
+        log = log.join(newest, "chain_id").filter(F.col("seq") > F.col("_newest") - window).drop("_newest")
+    heads = log.groupBy("chain_id").agg(F.min("seq").alias("head"))
     payload = F.try_parse_json("payload")
     field = lambda name: F.coalesce(F.get_json_object("payload", f"$.{name}"), F.lit(""))
     broken = payload.isNull()
-    own = log.select(*at, F.explode(F.array_compact(F.array(
-        finding(record_hash(F.col("prev_hash"), F.col("seq"), F.col("ingress_hash"), F.col("payload"))
-                != F.col("record_hash"), "content altered"),
-        finding(~broken & (field("decision") != F.col("decision")), "decision differs from payload"),
-        finding(~broken & (field("transaction_id") != F.col("transaction_id")), "id differs from payload"),
-        finding(broken, "payload is not JSON")))).alias("finding"))
-    # One row per position: duplicates are a finding of their own and must not multiply.
-    places = log.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("prev_hash").alias("prev_hash"),
-                                  F.max("prev_hash").alias("prev_high"), F.max("record_hash").alias("record_hash"))
-    before = places.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("expected"))
-    heads = places.groupBy("chain_id").agg(F.min("seq").alias("head"))
-    # One row per chain; joined by shuffle, a chain would meet in one task.
-    linked = places.join(before, at, "left").join(heads, "chain_id")
+    own = {"content altered": record_hash(F.col("prev_hash"), F.col("seq"), F.col("ingress_hash"), F.col("payload")) != F.col("record_hash"),
+           "decision differs from payload": ~broken & (field("decision") != F.col("decision")),
+           "id differs from payload": ~broken & (field("transaction_id") != F.col("transaction_id")),
+           "payload is not JSON": broken}
+    told = log.select("chain_id", F.inline(F.array(
+        F.struct("seq", F.lit(1).alias("here"), "prev_hash", F.lit(None).cast("string").alias("expected"),
+                 *[F.coalesce(c, F.lit(False)).cast("int").alias(f"_{i}") for i, c in enumerate(own.values())]),
+        F.struct((F.col("seq") + 1).alias("seq"), F.lit(0).alias("here"), F.lit(None).cast("string").alias("prev_hash"),
+                 F.col("record_hash").alias("expected"), *[F.lit(0).alias(f"_{i}") for i in range(len(own))]))))
+    places = told.groupBy("chain_id", "seq").agg(
+        F.sum("here").alias("n"), F.min("prev_hash").alias("prev_hash"), F.max("prev_hash").alias("prev_high"),
+        F.max("expected").alias("expected"), *[F.sum(f"_{i}").cast("int").alias(f"_{i}") for i in range(len(own))]).filter("n > 0")
+    # A record taken twice is a finding of its own, and each copy has its own others.
     first = F.col("seq") == F.col("head")
-    off = lambda hash_: (F.col("prev_hash") != hash_) | (F.col("prev_high") != hash_)
-    head_off = F.lit(False) if window is not None else first & off(F.lit(GENESIS))
-    links = linked.select(*at, F.explode(F.array_compact(F.array(
-        finding(F.col("n") > 1, "position repeated"),
-        finding(~first & F.col("expected").isNull(), "gap before"),
-        finding(head_off | (~first & (F.col("expected").isNull() | off(F.col("expected")))),
-                "previous hash differs")))).alias("finding"))
-    return own.unionByName(links)
+    other = lambda hash_: (F.col("prev_hash") != hash_) | (F.col("prev_high") != hash_)
+    head_off = F.lit(False) if window is not None else first & other(F.lit(GENESIS))
+    gap = ~first & F.col("expected").isNull()
+    off = gap | head_off | (~first & other(F.col("expected")))
+    times = {**{text: F.col(f"_{i}") for i, text in enumerate(own)}, "position repeated": (F.col("n") > 1).cast("int"),
+             "gap before": gap.cast("int"), "previous hash differs": F.coalesce(off, F.lit(False)).cast("int")}
+    found = F.flatten(F.array(*[F.array_repeat(F.lit(text), n) for text, n in times.items()]))
+    return places.join(heads, "chain_id").select("chain_id", "seq", F.explode(found).alias("finding"))
 
 
 def chain_heads(log: DataFrame) -> DataFrame:
