@@ -73,9 +73,11 @@ def final(spark, sf_dir) -> DataFrame:
     return decision.final_decisions(records(spark, sf_dir))
 
 
-def case_versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(every case version: opened, reopened with reasons, judged, judged again; rejected verdicts)."""
-    held = stored(final(spark, sf_dir))
+def case_versions(spark, sf_dir, case_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(every case version: opened, reopened with reasons, judged, judged again; rejected verdicts). With `case_id` of that case only:
+    the filter reaches the decisions before anything is grouped or stored."""
+    rows = final(spark, sf_dir)
+    held = stored(rows if case_id is None else rows.filter(F.col("transaction_id") == case_id))
     reasons = F.array(F.concat(F.lit("amount: "), F.col("amount_uzs").cast("string"), F.lit(" UZS (+0.50)")))
     opened = C.open_cases(held).unionByName(C.open_cases(held.filter("k % 2 = 0").withColumns(
         {"explanation": reasons, "explanation_status": F.lit("OK")})))
@@ -165,13 +167,16 @@ def usable_transfers(spark, sf_dir):
     return to_transfers(usable).select("transaction_id", "event_us", "sender_key", "payee_key", "amount", "active_call", "secs_login")
 
 
-@query(f"""with {_WIRE} select sender_card routing, transaction_id from wire""")
+@query(f"""with {_WIRE} select sender_card routing, transaction_id, event_time, receiver_card, case when k % 19 = 0 then null when k % 23 = 0 then '-5'
+when k % 29 = 0 then 'NaN' when k % 31 = 0 then 'many' else cast(amount_uzs as varchar) end amount_uzs, case when k % 2 = 0 then 'Navoi' end sender_region,
+case when k % 5 = 0 then 'False' when k % 5 = 1 then ' N ' else 'yes' end active_call from wire""")
 def envelope_roundtrip(spark, sf_dir):
-    """ING-5, ING-6: sealed and opened again; a re-addressed record does not open."""
+    """ING-5, ING-6: sealed and opened again, every field as it was; a re-addressed record does not open."""
     key = F.lit("0123456789abcdef0123456789abcdef").cast("binary")
     sealed = ingest.to_wire(wire(spark, sf_dir), key)
     moved = sealed.withColumn("value", F.regexp_replace("value", "^FDE1:8", "FDE1:9"))
-    return ingest.decode(sealed.unionByName(moved), key).filter("decoded").select("routing", "transaction_id")
+    return ingest.decode(sealed.unionByName(moved), key).filter("decoded").select(
+        "routing", "transaction_id", "event_time", "receiver_card", "amount_uzs", "sender_region", "active_call")
 
 
 # --- Cards --------------------------------------------------------------------------------
@@ -360,8 +365,8 @@ def resolved_verdicts(spark, sf_dir):
 
 @query(f"with {CASES} select transaction_id case_id, amount_uzs, disposition from ver where transaction_id = '100'")
 def case_lookup(spark, sf_dir):
-    """TOP-3."""
-    return cases(spark, sf_dir).filter("case_id = '100'").select("case_id", "amount_uzs", "disposition")
+    """TOP-3: one case; no other decision is grouped or stored for it."""
+    return C.latest_cases(case_versions(spark, sf_dir, "100")[0]).select("case_id", "amount_uzs", "disposition")
 
 
 @query(f"""with {CASES} select transaction_id case_id, case when model_version like 'second-look%' then 'held by the second look; ' else '' end ||

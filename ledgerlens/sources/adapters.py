@@ -25,7 +25,7 @@ def _transfers(rows: DataFrame, profile: Profile, **columns: Column) -> DataFram
         "amount": none("double"), "sender_region": none("string"), "active_call": F.lit(0),
         "secs_login": F.lit(0.0), "label": none("int"), "label_type": none("string"),
     }
-    unknown = set(columns) - set(defaults) - {"currency"}
+    unknown = set(columns) - set(defaults) - {"currency", "fmt"}
     if unknown:
         raise KeyError(f"not in the contract: {sorted(unknown)}")
     cols = {**defaults, **columns}
@@ -132,7 +132,8 @@ def bank_transfers(rows: DataFrame) -> DataFrame:
     return _transfers(
         scaled, foreign("geo_telemetry", "session_telemetry"), transaction_id=_told_apart(ident),
         event_us=F.unix_micros("at"), sender_id=F.col("sender"), receiver_id=F.col("receiver"),
-        amount=F.col("scaled_amount"), label=F.col("label").cast("int"), currency=F.col("currency"))
+        amount=F.col("scaled_amount"), label=F.col("label").cast("int"), currency=F.col("currency"),
+        fmt=F.col("fmt"))
 
 
 def scale_factors(rows: DataFrame, amount: str, by: list[str]) -> DataFrame:
@@ -154,12 +155,12 @@ def rescaled(rows: DataFrame, amount: str, by: list[str]) -> DataFrame:
 
 
 def describe(transfers: DataFrame) -> DataFrame:
-    """One row on a dataset: size, frauds, span, accounts, currencies, self-transfers.
+    """One row on a dataset: size, frauds, span, accounts, currencies, payment formats, self-transfers.
 
     Distinct accounts come from one row per account, so no task holds a set of them.
     """
-    currency = F.col("currency") if "currency" in transfers.columns else F.lit(None).cast("string")
-    base = transfers.withColumn("currency", currency)
+    given = lambda c: F.col(c) if c in transfers.columns else F.lit(None).cast("string")
+    base = transfers.withColumns({"currency": given("currency"), "fmt": given("fmt")})
     facts = base.agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce("label", F.lit(0))).alias("frauds"),
         F.avg(F.coalesce("label", F.lit(0))).alias("fraud_share"),
@@ -170,10 +171,11 @@ def describe(transfers: DataFrame) -> DataFrame:
         F.struct(F.lit("payee").alias("role"), F.col("payee_key").alias("value")),
         F.struct(F.lit("account").alias("role"), F.col("sender_key").alias("value")),
         F.struct(F.lit("account").alias("role"), F.col("payee_key").alias("value")),
-        F.struct(F.lit("currency").alias("role"), F.col("currency").alias("value")))).alias("x"))
+        F.struct(F.lit("currency").alias("role"), F.col("currency").alias("value")),
+        F.struct(F.lit("format").alias("role"), F.col("fmt").alias("value")))).alias("x"))
     counts = (roles.select("x.*").filter(F.col("value").isNotNull()).distinct()
               .agg(*[F.sum((F.col("role") == r).cast("bigint")).alias(n) for r, n in
                      (("account", "accounts"), ("sender", "senders"), ("payee", "payees"),
-                      ("currency", "currencies"))]))
+                      ("currency", "currencies"), ("format", "formats"))]))
     # Two one-row results side by side.
     return facts.withColumns({c: counts.select(c).scalar() for c in counts.columns})

@@ -6,6 +6,8 @@ the latest version per key in any case.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import settings as S
@@ -124,12 +126,18 @@ _INSIDE = {f"{short}_{figure}": (model, figure) for short, model in (("served",
 _BLANK = {"bigint": 0, "double": 0.0, "string": "", "array<string>": []}
 
 
-def run_row(spark: SparkSession, status: dict, at) -> DataFrame:
-    """The table row for the status of a retrain run that was started `at`. Columns that the run never came to show a blank of their type."""
-    def value(column: str, kind: str):
+def run_rows(spark: SparkSession, runs: list[tuple[dict, datetime]]) -> DataFrame:
+    """The table rows for the statuses of retrain runs and the moments they were started. Columns that a run never came to show a blank
+    of their type. There is one status a run, so they are few."""
+    def value(status: dict, column: str, kind: str):
         found = status
         for step in _INSIDE.get(column, (column,)):
             found = (found or {}).get(step)
         return (float(found) if kind == "double" else found) if found is not None else _BLANK[kind]
-    row = [at if kind == "timestamp" else value(column, kind) for column, kind in RUN_COLUMNS.items()]
-    return spark.createDataFrame([row], ", ".join(f"{n} {t}" for n, t in RUN_COLUMNS.items()))
+    rows = [[at if kind == "timestamp" else value(status, column, kind) for column, kind in RUN_COLUMNS.items()] for status, at in runs]
+    return spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in RUN_COLUMNS.items()))
+
+
+def run_row(spark: SparkSession, status: dict, at: datetime) -> DataFrame:
+    """The table row of one run."""
+    return run_rows(spark, [(status, at)])

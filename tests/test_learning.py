@@ -78,7 +78,9 @@ def test_every_query_with_a_twin_agrees_on_the_small_tables(spark, sf):
     from ledgerlens.plans.catalogue import QUERIES
     # The text operators, which may be absent, are held against brute force by tests of their own.
     assert set(twins) <= set(queries) and set(QUERIES) <= set(twins)
-    for name in ("time_split", "ingress_hash", "final_decision", "decision_counts", "bin_lookup", "class_weights"):
+    for name in ("time_split", "ingress_hash", "final_decision", "decision_counts", "bin_lookup", "class_weights",
+                 "labelled_file", "bank_registry", "wire_messages", "event_time_fallback", "duplicate_delivery", "audit_payload", "reason_phrases",
+                 "case_lookup"):
         df = queries[name](spark, sf)
         cur = con.execute(twins[name])
         names = [c[0] for c in cur.description]

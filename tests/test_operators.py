@@ -252,6 +252,24 @@ def test_chain(spark, log):
     assert audit.chain_heads(log).first()["last_seq"] == 39
 
 
+def test_copies_of_a_damaged_record_have_findings_of_their_own(spark, log):
+    damaged = log.withColumn("payload", F.when(F.col("seq") == 5, "{").otherwise(F.col("payload")))
+    twice = damaged.unionByName(damaged.filter("seq in (5, 6)"))
+    assert findings(twice) == sorted([(5, "content altered"), (5, "payload is not JSON")] * 2 + [(5, "position repeated"), (6, "position repeated")])
+    other = log.withColumn("prev_hash", F.when(F.col("seq") == 9, "0" * 64).otherwise(F.col("prev_hash")))
+    assert findings(other) == [(9, "content altered"), (9, "previous hash differs")]
+    assert findings(log.filter("seq <> 35"), window=10) == [(36, "gap before"), (36, "previous hash differs")]
+    assert findings(log.limit(0)) == []
+    two = log.unionByName(log.withColumn("chain_id", F.lit(1).cast(log.schema["chain_id"].dataType)).filter("seq <> 3"))
+    assert [(r["chain_id"], r["seq"]) for r in audit.verify_chain(two).collect()] == [(1, 4), (1, 4)]
+
+
+def test_checking_a_chain_is_one_shuffle_by_position(spark, log, tmp_path):
+    log.write.parquet(str(tmp_path / "log"))
+    plan = audit.verify_chain(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join ") == 1
+
+
 def test_chain_over_slices(spark, small_slices, log):
     rows = log.drop("chain_id", "seq", "prev_hash", "record_hash")
     again = audit.append_chain(rows, ["event_time", "transaction_id"])
@@ -341,3 +359,26 @@ def test_retrain_rows(spark):
     from ledgerlens.sources.sinks import RUN_COLUMNS, run_row
     row = run_row(spark, {"outcome": "too_few_rows", "logged": 7}, datetime(2024, 1, 1, tzinfo=timezone.utc)).first()
     assert list(row.asDict()) == list(RUN_COLUMNS) and row["new_f1"] == 0.0 and row["moved"] == [] and row["logged"] == 7
+
+
+def test_run_rows(spark):
+    from ledgerlens.sources.sinks import run_rows
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = run_rows(spark, [({"outcome": "better", "logged": 3, "served": {"alerts": 1, "f1": 1}, "moved": ["a"]}, at), ({"error": "none"}, at)]).collect()
+    assert [(r["outcome"], r["logged"], r["served_alerts"], r["served_f1"], r["new_f1"], r["moved"], r["error"]) for r in rows] == [
+        ("better", 3, 1, 1.0, 0.0, ["a"], ""), ("", 0, 0, 0.0, 0.0, [], "none")]
+
+
+def test_labelled_files_and_registries(spark, tmp_path):
+    from ledgerlens.contract import LABELLED
+    from ledgerlens.sources import files
+    rows = spark.createDataFrame([(f"t{i}", f"2024-01-0{3 - i}", "0086") for i in range(3)], "transaction_id string, event_time string, sender_card string")
+    whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LABELLED.fields])
+    whole.write.csv(str(tmp_path / "csv"), header=True)
+    whole.write.parquet(str(tmp_path / "parquet"))
+    for fmt in ("csv", "parquet"):
+        read = files.read_labelled(spark, str(tmp_path / fmt), fmt, limit=2).collect()
+        assert [(r["transaction_id"], r["sender_card"]) for r in read] == [("t2", "0086"), ("t1", "0086")]
+    spark.createDataFrame([(" ", "1", "none", 1.0)], "bin string, code string, name string, cards_mln double").write.csv(str(tmp_path / "banks"), header=True)
+    with pytest.raises(ValueError):
+        files.read_banks(spark, str(tmp_path / "banks"))
