@@ -5,7 +5,8 @@ lines follow from the pairs of names of h lines at i and i + h, grouped again. O
 doubling; a run that is unique loses its name and takes no part from there on. Places of one name are an interval of the suffix
 array in which the longest common prefix is h lines or more, and two overlapping names make a name of any length between.
 
-A repeated run counts from `least_words` words on. Each place looks at the shortest run of that size that begins there, and the
+A repeated run counts from `least_words` words on: what white space parts, and in scripts that set none between words two letters more
+count as a word. Each place looks at the shortest run of that size that begins there, and the
 shortest that ends there; if the same run occurs at an earlier place (by doc_id, then by line), its lines are deleted. The union of
 those is exactly the maximal repeated runs' later copies. As every line has a word, runs of `least_words` lines are the longest that
 need names, so the number of doublings does not depend on the data. The first copy of any line always stays.
@@ -24,6 +25,9 @@ from ..sources.files import stored
 from .rows import KEY, decided, named
 
 LEAST_WORDS = 8
+#: Letters of scripts without blanks between words, and how many of them weigh as much as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+UNSPACED_A_WORD = 2
 
 
 def _doc():
@@ -35,7 +39,10 @@ def sequences(docs: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
         i.alias("number"), F.btrim(x, F.lit(" \t\n\x0b\f\r")).alias("line")))
     lines = named(docs).select(*KEY, F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("at", "line"))
-    return lines.select(*KEY, "at", "line.number", F.size(F.split("line.line", r"\s+")).alias("words"),
+    # A line of one byte a letter has none of them.
+    unspaced = F.when(F.octet_length("line.line") > F.length("line.line"), F.floor(
+        F.regexp_count("line.line", F.lit(UNSPACED)) / UNSPACED_A_WORD).cast("int")).otherwise(0)
+    return lines.select(*KEY, "at", "line.number", (F.size(F.split("line.line", r"\s+")) + unspaced).alias("words"),
                         F.xxhash64("line.line").alias("h1"), F.xxhash64("line.line", F.lit(1)).alias("h2"))
 
 
