@@ -34,15 +34,16 @@ def _doc():
     return Window.partitionBy(*KEY).orderBy("at")
 
 
-def sequences(docs: DataFrame) -> DataFrame:
+def sequences(docs: DataFrame, least_words: int) -> DataFrame:
     """Every line that is not blank: key, number of the line, at (its place among them), words and a 128-bit hash."""
     numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
         i.alias("number"), F.btrim(x, F.lit(" \t\n\x0b\f\r")).alias("line")))
     lines = named(docs).select(*KEY, F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("at", "line"))
-    # A line of one byte a letter has none of them.
-    unspaced = F.when(F.octet_length("line.line") > F.length("line.line"), F.floor(
+    spaced = F.size(F.split("line.line", r"\s+"))
+    # A line of one byte a letter has none of them, and one of `least_words` words needs none.
+    unspaced = F.when((F.octet_length("line.line") > F.length("line.line")) & (spaced < least_words), F.floor(
         F.regexp_count("line.line", F.lit(UNSPACED)) / UNSPACED_A_WORD).cast("int")).otherwise(0)
-    return lines.select(*KEY, "at", "line.number", (F.size(F.split("line.line", r"\s+")) + unspaced).alias("words"),
+    return lines.select(*KEY, "at", "line.number", (spaced + unspaced).alias("words"),
                         F.xxhash64("line.line").alias("h1"), F.xxhash64("line.line", F.lit(1)).alias("h2"))
 
 
@@ -69,7 +70,7 @@ def _ahead(column: str, n: int) -> Column:
 
 def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """key and number of every line that belongs to a later copy of a repeated run."""
-    lines = stored(sequences(docs))
+    lines = stored(sequences(docs, least_words))
     often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
     # A repeated row brings each of its lines twice: once is enough.
     active = stored(lines.join(often, ["h1", "h2"]).dropDuplicates([*KEY, "at"]))
