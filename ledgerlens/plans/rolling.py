@@ -45,10 +45,10 @@ def rolling(decided: DataFrame, fit: Fit = evidence, history: int = 2, parts: in
     The third knows every label. All are read at as many alerts as the job itself raised in the step, ties in order of time. `decided`
     has label, decision, rule_hits, event_us, transaction_id and what `fit` and its scorer read.
     """
-    known = lookups.known_labels(decided, held_delay_s, report_delay_s)
+    known = stored(lookups.known_labels(decided, held_delay_s, report_delay_s))
     whole = known.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     order = [F.col("event_us"), F.col("transaction_id")]
-    placed = with_position(known, order).withColumn("_n", whole)
+    placed = with_position(known, order, kept=True).withColumn("_n", whole)
     # Part i begins at the whole part of n * i / parts.
     part = sum((F.when(F.col("position") >= F.floor(F.col("_n") * i / parts), 1).otherwise(0) for i in range(1, parts)), F.lit(0))
     rows = stored(placed.withColumn("step", part.cast("int")).drop("_n", "position"))
