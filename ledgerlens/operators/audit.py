@@ -7,8 +7,6 @@ import hashlib
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import spread
-from .quantiles import running_within
-from .timeline import Sum
 
 # The hashed fields of an event, in order.
 INGRESS_FIELDS = ("transaction_id", "event_time", "sender_pinfl", "sender_card", "receiver_card",
@@ -44,20 +42,22 @@ def audit_core(records: DataFrame) -> DataFrame:
 
 
 def _link(batches):
-    """Walk one partition's chains in order, one Arrow batch at a time; only each chain's last hash
-    is held."""
-    chain = last = None
+    """Walk one partition's chains in order, one Arrow batch at a time; only each chain's last place
+    and hash are held."""
+    chain = last = seq = None
     for pdf in batches:
-        prev_col, hash_col = [], []
-        for cid, seq, start, ingress, payload in zip(pdf["chain_id"], pdf["seq"], pdf["start_hash"],
-                                                     pdf["ingress_hash"], pdf["payload"]):
+        seq_col, prev_col, hash_col = [], [], []
+        for cid, begin, start, ingress, payload in zip(pdf["chain_id"], pdf["_from"], pdf["start_hash"],
+                                                       pdf["ingress_hash"], pdf["payload"]):
             if cid != chain:
-                chain, last = cid, start
+                chain, last, seq = cid, start, begin - 1
+            seq += 1
             text = JOINER.join((last, str(seq), ingress or "", payload or ""))
+            seq_col.append(seq)
             prev_col.append(last)
             last = hashlib.sha256(text.encode("utf-8")).hexdigest()
             hash_col.append(last)
-        yield pdf.drop(columns="start_hash").assign(prev_hash=prev_col, record_hash=hash_col)
+        yield pdf.drop(columns=["_from", "start_hash"]).assign(seq=seq_col, prev_hash=prev_col, record_hash=hash_col)
 
 
 #: Records that one walker takes on, in a load that chooses its own number of chains.
@@ -83,7 +83,6 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
     over that many independent chains, so a large load has as many walkers; 1 is the plain log.
     """
     rows = core.withColumn("chain_id", spread(F.col("transaction_id"), chains))
-    rows = running_within(rows, ["chain_id"], order, {"_place": Sum(F.lit(1).cast("bigint"), before=True)})
     if tails is None:
         rows = rows.withColumns({"_from": F.lit(0).cast("bigint"), "start_hash": F.lit(GENESIS)})
     else:
@@ -91,11 +90,10 @@ def append_chain(core: DataFrame, order: list[str], chains: int = 1,
         rows = rows.join(ends, "chain_id", "left").withColumns({
             "_from": F.coalesce(F.col("_seq") + 1, F.lit(0).cast("bigint")),
             "start_hash": F.coalesce("_hash", F.lit(GENESIS))}).drop("_seq", "_hash")
-    rows = rows.withColumn("seq", F.col("_from") + F.col("_place")).drop("_from", "_place")
-    # By range: hashing would put several of a few chains into one task and leave others idle.
-    ordered = rows.repartitionByRange(chains, "chain_id").sortWithinPartitions("chain_id", "seq")
-    names = [c for c in ordered.columns if c != "start_hash"]
-    schema = ordered.select(*names).withColumns({"prev_hash": F.lit(""), "record_hash": F.lit("")}).schema
+    # A task for each chain: hashing would put several of a few chains into one task, and sampled ranges may.
+    ordered = rows.repartitionById(chains, F.col("chain_id")).sortWithinPartitions("chain_id", *order)
+    names = [c for c in ordered.columns if c not in ("_from", "start_hash")]
+    schema = ordered.select(*names).withColumns({"seq": F.lit(0).cast("bigint"), "prev_hash": F.lit(""), "record_hash": F.lit("")}).schema
     return ordered.mapInPandas(_link, schema)
 
 
