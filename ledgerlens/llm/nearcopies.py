@@ -288,7 +288,8 @@ def classes(docs: DataFrame) -> DataFrame:
              .select("bucket", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
              .join(words, "node").groupBy("bucket", "low", "high").applyInArrow(_tile, "a long, b long"))
     more = stored(tiles.distinct())
-    labels = components(links.union(more))
+    # The stars of the first labels hold together what its links did, and need no steps again.
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named_ = texts.select("same1", "same2", "node").join(labels, "node", "left").select("same1", "same2", F.coalesce("label", "node").alias("label"))
     labelled = sketches.drop("bands").join(named_, ["same1", "same2"], "left")
     worded = labelled.filter("n_words > 0")
