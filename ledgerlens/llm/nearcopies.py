@@ -4,7 +4,8 @@ A text's k-mers are its runs of five words, labelled with their occurrence so th
 picks the `PICKS` least of them and keeps those k-mers in the order of the text: two texts agree there only if they share the
 k-mers and their order. Texts of the same words are one from the start. Texts that agree in a band are candidates, and a pair is
 verified on its words by an exact alignment alone: an edit similarity of 0.8 or more. A paragraph that moved is edits as any other.
-Pairs that share less than `SHARED` of their five-word runs are not aligned.
+Pairs that share less than `SHARED` of their five-word runs are not aligned, nor are those whose words, whatever their order, differ
+by more than the edits that a copy may have: each edit makes up for one word at most.
 
 No pairs of a whole group are emitted. First every text of a bucket is verified with one, that which agrees most with others
 anywhere; linked texts are one class by then. Where a bucket still holds several classes, its texts are compared block by block in
@@ -58,14 +59,19 @@ def shingled(hashes: np.ndarray) -> np.ndarray:
     return runs(hashes, at, at + k)
 
 
+def occurrence(values: np.ndarray) -> np.ndarray:
+    """How many equal values come before each."""
+    order = np.argsort(values, kind="stable")
+    sorted_ = values[order]
+    opens = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    number = np.empty(len(values), np.uint64)
+    number[order] = np.arange(len(values)) - np.repeat(opens, np.diff(np.append(opens, len(values))))
+    return number
+
+
 def sketch(kmers: np.ndarray) -> np.ndarray:
     """One number a band: the picked k-mers in the order of the text."""
-    order = np.argsort(kmers, kind="stable")
-    sorted_ = kmers[order]
-    opens = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    number = np.empty(len(kmers), np.uint64)
-    number[order] = np.arange(len(kmers)) - np.repeat(opens, np.diff(np.append(opens, len(kmers))))
-    labelled = mixed(kmers + number * np.uint64(0x9FB21C651E98DF25))
+    labelled = mixed(kmers + occurrence(kmers) * np.uint64(0x9FB21C651E98DF25))
     out = []
     short = BANDS + SHORT_BANDS
     for first, last, picks, most in ((0, BANDS, PICKS, None), (BANDS, short, SHORT_PICKS, SHORT), (short, short + TINY_BANDS, SHORT_PICKS, TINY)):
@@ -114,6 +120,16 @@ def shingle_set(words: np.ndarray) -> np.ndarray:
     return np.unique(shingled(mixed(words.astype(np.uint64))))
 
 
+def word_set(words: np.ndarray) -> np.ndarray:
+    """The words of a text, each time a word occurs as a value of its own."""
+    return np.sort(words.astype(np.uint64) | occurrence(words) << np.uint64(32))
+
+
+def most_edits(longer):
+    """How many edits a copy may have, by the length of the longer text."""
+    return np.floor((1 - SIMILAR) * longer + 1e-9)
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if it is at most `most`. Both ways below are exact: one is fast for few edits, and the other's
     cost does not grow with the square of their number."""
@@ -190,7 +206,7 @@ def near(a: np.ndarray, b: np.ndarray, shared: int, a_set: int, b_set: int) -> b
     """Whether two texts' words are near copies, given how many five-word runs they share of how many."""
     if shared < SHARED * (a_set + b_set - shared) - 1e-9:
         return False
-    return edits(a, b, int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9)) is not None
+    return edits(a, b, int(most_edits(max(len(a), len(b))))) is not None
 
 
 def _verified(batches):
@@ -201,36 +217,56 @@ def _verified(batches):
             if len(kept) > 500:
                 kept.clear()
             array = read_words(words)
-            kept[node] = array, shingle_set(array)
+            kept[node] = array, shingle_set(array), word_set(array)
         return kept[node]
 
     for batch in batches:
         good = []
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_words", "b_words")), strict=True):
-            (xw, xs), (yw, ys) = of(a, x), of(b, y)
-            shared = len(np.intersect1d(xs, ys, assume_unique=True))
-            good.append(near(xw, yw, shared, len(xs), len(ys)))
+            (xw, xs, xb), (yw, ys, yb) = of(a, x), of(b, y)
+            longer = max(len(xw), len(yw))
+            alike = longer - len(np.intersect1d(xb, yb, assume_unique=True)) <= most_edits(longer)
+            shared = len(np.intersect1d(xs, ys, assume_unique=True)) if alike else 0
+            good.append(alike and near(xw, yw, shared, len(xs), len(ys)))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _tile(table: pa.Table) -> pa.Table:
-    """Links between classes in one tile: two blocks of a bucket's texts, or one with itself."""
-    nodes, labels, blocks = (table.column(c).to_pylist() for c in ("node", "label", "block"))
-    words = [read_words(w) for w in table.column("words").to_pylist()]
-    sets = [shingle_set(w) for w in words]
-    sizes = np.array([len(s) for s in sets])
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
     _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     often = counts[which] > 1
     which, owner = np.unique(which[often], return_inverse=True)[1], owner[often]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
     for low in range(0, int(which.max(initial=-1)) + 1, COLUMNS):
-        own = (which >= low) & (which < low + COLUMNS)
+        own = slice(*np.searchsorted(which, (low, low + COLUMNS)))
         held = np.zeros((len(sets), COLUMNS), np.float32)
         held[owner[own], which[own] - low] = 1
-        shared += held @ held.T
+        common += held @ held.T
+    return common
+
+
+def _candidates(words: list[np.ndarray], shared: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs to align: enough runs in common, and not more words apart than a copy has edits."""
+    good = np.triu(shared >= SHARED * total - 1e-4, 1)
+    if good.any():
+        lengths = np.array([len(w) for w in words])
+        longer = np.maximum(lengths[:, None], lengths[None, :])
+        good &= longer - _common([word_set(w) for w in words]) <= most_edits(longer)
+    return np.nonzero(good)
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Links between classes in one tile: two blocks of a bucket's texts, or one with itself."""
+    nodes, labels, blocks = (table.column(c).to_pylist() for c in ("node", "label", "block"))
+    words = [read_words(w) for w in table.column("words").to_pylist()]
+    sets = [shingle_set(w) for w in words]
+    sizes = np.array([len(s) for s in sets])
+    shared = _common(sets)
     total = sizes[:, None] + sizes[None, :] - shared
-    i, j = np.nonzero(np.triu(shared >= SHARED * total - 1e-4, 1))
+    i, j = _candidates(words, shared, total)
     best = np.argsort(-(shared[i, j] / total[i, j]), kind="stable")
     cross = len(set(blocks)) > 1
     parent: dict[int, int] = {}

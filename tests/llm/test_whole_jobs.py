@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerlens.llm import nearcopies, notices, trees, wrappers
 
@@ -36,6 +37,33 @@ def test_edits_are_exact_on_both_ways():
             assert nearcopies.edits(np.array(a, np.uint32), np.array(b, np.uint32), most) == (true if true <= most else None)
 
 
+def test_texts_whose_words_are_too_far_apart_are_not_aligned(monkeypatch):
+    """A bucket of texts that share runs but are no copies: of 3,160 pairs only those are aligned that can be copies, and none is lost."""
+    rng = random.Random(9)
+    base = [rng.randrange(9000) for _ in range(80)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for at in range(45, 80) if i % 10 else rng.sample(range(80), 6):
+            words[at] = rng.randrange(9000, 99_000)
+        texts.append(np.array(words, np.uint32))
+    near = [(i, j) for i in range(80) for j in range(i + 1, 80) if nearcopies.edits(texts[i], texts[j], 16) is not None]
+    aligned = []
+    plain = nearcopies.edits
+    monkeypatch.setattr(nearcopies, "edits", lambda a, b, most: aligned.append(1) or plain(a, b, most))
+    tile = pa.table({"node": range(80), "label": range(80), "block": [0] * 80, "words": [t.tobytes() for t in texts]})
+    links = nearcopies._tile(tile).to_pylist()
+    parent = list(range(80))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+    for a, b in near:
+        parent[root(a)] = root(b)
+    assert 20 < len(near) and len(links) == 80 - len({root(i) for i in range(80)})
+    assert {root(link["a"]) == root(link["b"]) for link in links} == {True}
+    assert len(aligned) <= len(near)
+
+
 def test_very_short_near_copies_share_a_band():
     """Four and five k-mers at Jaccard 0.8 exactly."""
     rng = np.random.default_rng(7)
