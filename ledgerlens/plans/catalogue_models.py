@@ -43,7 +43,7 @@ select step, model, alerts, count(*) as rows, sum(label)::bigint fraud, (count(*
 from ranked group by step, model, alerts""")
 def rolling_models(spark, sf_dir):
     """ML-27: frauds caught by a static model, one retrained on the labels known by then, and one that knows all labels."""
-    return rolling.rolling(catalogue.decided(spark, sf_dir), held_delay_s=catalogue.DELAY, report_delay_s=REPORT)
+    return rolling.rolling(catalogue.decided(spark, sf_dir, "label"), held_delay_s=catalogue.DELAY, report_delay_s=REPORT)
 
 
 def _over(base: str, name: str) -> str:

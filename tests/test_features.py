@@ -2,7 +2,11 @@ import math
 
 import brute
 import pytest
+from pyspark.sql import functions as F
+from ledgerlens.operators import decision
 from ledgerlens.operators.features import FEATURES, HELPERS, transfer_features
+from ledgerlens.operators.rules import reads, with_rules
+from ledgerlens.plans import catalogue
 
 DAY = 86_400_000_000
 
@@ -75,3 +79,16 @@ def test_no_hot_key_means_two_wide_shuffles(spark, sf):
     # payee side, sender side, and the narrow list of credits joining the sender's side
     assert plan.count("Exchange hashpartitioning") == 3
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_decisions_are_planned_from_the_rules_features_alone(spark, sf):
+    """Fewer features, the same hits and decisions; the transfer's own columns come along when they are named."""
+    few = catalogue.decided(spark, sf, "label", "label_type")
+    everything = decision.decide(with_rules(catalogue.features(spark, sf)).withColumn("ml_score", F.lit(None).cast("double")))
+    assert not {"payee_flagged_contacts", "sender_payees_7d", "secs_since_sender_inbound"} & set(few.columns)
+    same = ["transaction_id", "event_us", "label", "label_type", "amount", "rule_hits", "cep_score", "final_score", "decision", "predicted_type"]
+    rows = lambda df: sorted(map(tuple, df.select(*same).collect()))
+    assert rows(few) == rows(everything) and len(rows(few)) == 1000
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert shuffles(few) < shuffles(everything) / 2
+    assert set(reads()) <= set(FEATURES + HELPERS) | {"amount", "active_call"}
