@@ -7,6 +7,7 @@ from ledgerlens.operators import decision
 from ledgerlens.operators.features import FEATURES, HELPERS, transfer_features
 from ledgerlens.operators.rules import reads, with_rules
 from ledgerlens.plans import catalogue
+from ledgerlens.sources import adapters
 
 DAY = 86_400_000_000
 
@@ -92,3 +93,10 @@ def test_decisions_are_planned_from_the_rules_features_alone(spark, sf):
     shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert shuffles(few) < shuffles(everything) / 2
     assert set(reads()) <= set(FEATURES + HELPERS) | {"amount", "active_call"}
+
+
+def test_tied_orders_are_planned_from_what_is_returned(spark, sf):
+    asked = catalogue._ties(spark, sf)
+    assert asked.columns == ["transaction_id", "event_us", *catalogue._TIES]
+    whole = transfer_features(adapters.from_orders(spark, sf)).select(asked.columns)
+    assert sorted(map(tuple, asked.collect())) == sorted(map(tuple, whole.collect()))
