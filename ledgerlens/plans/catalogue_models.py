@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..operators import decision, metrics
-from ..operators.confirmed import confirmed_from_labels
 from ..operators.features import transfer_features
-from ..operators.rules import with_rules
+from ..operators.rules import reads, with_rules
+from ..sources.files import stored
 from . import catalogue, oracle as Q, rolling
 from .catalogue import _DECIDED, _SPLIT, query
 
@@ -60,11 +60,10 @@ select tid transaction_id, was.score score_before, was.decision decision_before,
 was.decision = 'REVIEW' and would.decision <> 'REVIEW' hidden from chosen join was using (tid) join would using (tid)""")
 def probe_rescoring(spark, sf_dir):
     """ML-28: every later fraud decided again with a small payment to the same payee a minute before."""
-    t = catalogue.events(spark, sf_dir)
-    confirmed = confirmed_from_labels(t, catalogue.DELAY)
+    t = stored(catalogue.events(spark, sf_dir))  # read by the split, the choice and both decisions
 
     def decide(rows):
-        told = with_rules(transfer_features(rows, confirmed)).withColumn("ml_score", F.lit(None).cast("double"))
+        told = with_rules(transfer_features(rows, wanted=reads())).withColumn("ml_score", F.lit(None).cast("double"))
         return decision.decide(told).withColumn("final_score", F.round("final_score", 4))
 
-    return rolling.with_test_payment(t, metrics.time_split(t).filter("part = 'test' and label = 1"), decide)
+    return rolling.with_test_payment(t, metrics.time_split(t.select("transaction_id", "event_us", "label")).filter("part = 'test' and label = 1"), decide)

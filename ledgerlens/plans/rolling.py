@@ -77,10 +77,11 @@ def with_test_payment(transfers: DataFrame, chosen: DataFrame, decide: Callable[
     transaction_id, score_before, decision_before, score_after, decision_after and hidden (held before and not after). `decide` takes
     transfers and gives transaction_id, final_score and decision. All payments are put in at once, so two chosen transfers of one
     sender see both."""
-    ids = chosen.select("transaction_id").distinct()
+    # Read on both sides and by the probe; the choice may have cost an order over all transfers.
+    ids = stored(chosen.select("transaction_id").distinct())
     names = lambda when: [F.col("final_score").alias(f"score_{when}"), F.col("decision").alias(f"decision_{when}")]
     was = decide(transfers).join(ids, "transaction_id", "left_semi").select("transaction_id", *names("before"))
-    probed = decide(lookups.test_transfer_probe(transfers, chosen, before_s, amount))
+    probed = decide(lookups.test_transfer_probe(transfers, ids, before_s, amount))
     would = probed.join(ids, "transaction_id", "left_semi").select("transaction_id", *names("after"))
     hidden = (F.col("decision_before") == "REVIEW") & (F.col("decision_after") != "REVIEW")
     return was.join(would, "transaction_id").withColumn("hidden", hidden)

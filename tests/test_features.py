@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import decision
 from ledgerlens.operators.features import FEATURES, HELPERS, transfer_features
 from ledgerlens.operators.rules import reads, with_rules
-from ledgerlens.plans import catalogue
+from ledgerlens.plans import catalogue, catalogue_models
 from ledgerlens.sources import adapters
 
 DAY = 86_400_000_000
@@ -100,3 +100,9 @@ def test_tied_orders_are_planned_from_what_is_returned(spark, sf):
     assert asked.columns == ["transaction_id", "event_us", *catalogue._TIES]
     whole = transfer_features(adapters.from_orders(spark, sf)).select(asked.columns)
     assert sorted(map(tuple, asked.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_test_payments_choose_once_and_plan_what_rules_read(spark, sf):
+    """Neither the choice's order over all transfers nor accounts' contacts are worked out again in either decision."""
+    plan = catalogue_models.probe_rescoring(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "position" not in plan and "run_contacts" not in plan
