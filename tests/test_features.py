@@ -106,3 +106,9 @@ def test_test_payments_choose_once_and_plan_what_rules_read(spark, sf):
     """Neither the choice's order over all transfers nor accounts' contacts are worked out again in either decision."""
     plan = catalogue_models.probe_rescoring(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "position" not in plan and "run_contacts" not in plan
+
+
+def test_what_came_before_is_no_join_of_the_transfers(spark, sf):
+    """Prior pairs, payers and regions stand in the timelines; only a sender's own summary is joined, by the account it is dealt by."""
+    plan = catalogue.incremental_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
