@@ -7,7 +7,8 @@ place 0 or else the last is whole too, the last stands where both words end. So
 join within shift one with its other rows left out. A chunk alone is shared by too many words (a common prefix is a hot key), so
 the rest of the word is chunked once more by the same argument: the key of a row is the whole chunk and the whole half of the
 rest, three quarters of the word. Pairs that meet are verified inside the join, under the first key they share only, so that no
-unverified pair leaves it and none leaves it twice.
+unverified pair leaves it and none leaves it twice. All joins merge sorted rows: a word's eight rows and their keys are many times
+the table that they come from, by whose size Spark would broadcast them through the driver.
 
 A word's form is its near word of largest count, if that is `RATIO` times its own; counts grow along forms, so that following them
 ends, and roots are found by pointer doubling in a number of rounds that the logarithm of the largest chain bounds.
@@ -83,7 +84,7 @@ def near_pairs(counts: DataFrame) -> DataFrame:
     together = once & near & ~earlier
     for k in ("of", "which", "head", "tail"):
         together = (F.col(f"c.{k}") == F.col(f"g.{k}")) & together
-    return c.join(g, together).select("a", "a_n", "b", "b_n")
+    return c.join(g.hint("merge"), together).select("a", "a_n", "b", "b_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def roots(forms: DataFrame) -> DataFrame:
     jumps = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = jumps.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        jumps = stored(jumps.join(ahead, "root", "left")
+        jumps = stored(jumps.join(ahead.hint("merge"), "root", "left")
                        .select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         if jumps.filter("moved").isEmpty():
             return jumps.select("word", "root")
@@ -108,9 +109,9 @@ def grouped(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
         F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))).alias("p")).select("p.*")
     best = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     is_form = -F.col("best.less") >= ratio * F.col("n")
-    formed = stored(counts.join(best, "word", "left").select(
+    formed = stored(counts.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(is_form, F.col("best.near")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")))
     ends = roots(formed.filter("form is not null"))
-    return formed.join(ends, "word", "left").select(
+    return formed.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
