@@ -1,0 +1,33 @@
+"""Rows are packed by account before they cross to Python; halves that need no count do not take a key of their own."""
+import json
+from types import SimpleNamespace
+
+import pyarrow as pa
+from test_keyed_calls import operator, paid, sent_of
+
+from ledgerlens.streaming import keyed
+
+
+def test_an_account_is_one_row_with_all_its_entries():
+    rows = [{"account": a, "entry": json.dumps({"us": i, "id": 'a,"b\n'}), "transfer": "" if i % 2 else json.dumps({"t": f"{i}\n"})}
+            for i, a in enumerate(["A", None, "A", "", "A", None] * 3)]
+    halves = [pa.RecordBatch.from_pylist(part) for part in (rows[:7], rows[7:])]
+    packed = [r for b in keyed._by_account(iter(halves)) for r in b.to_pylist()]
+    assert len(packed) == 3 and {r["account"] for r in packed} == {"A", "", None}
+    for r in packed:
+        own = [x for x in rows if x["account"] == r["account"]]
+        got = [(e.us, e.id, e.transfer) for e in keyed._entries([SimpleNamespace(**r)])]
+        assert got == [(json.loads(x["entry"])["us"], 'a,"b\n', x["transfer"]) for x in own]
+
+
+def test_packed_entries_are_measured_like_single_ones():
+    single = [paid(i, f"P{i % 3}") for i in range(40)]
+    whole = SimpleNamespace(entry=",".join(r.entry for r in single), transfer="\n".join(r.transfer for r in single))
+    told = [sent_of(operator()[0].handleInputRows(("A",), rows, None)) for rows in (single, [whole])]
+    assert len(told[0]) == 40 and told[0] == told[1]
+
+
+def test_halves_that_only_pass_share_keys(monkeypatch):
+    monkeypatch.setattr(keyed, "PASSING_KEYS", 4)
+    keys = {r.account for i in range(60) for r in operator()[0].handleInputRows((f"A{i}",), [paid(i, "P")], None)}
+    assert 1 < len(keys) <= 4
